@@ -10,7 +10,7 @@ from pyspark.sql import types as K
 
 from .operators import search as S
 from .operators.batch import search_many
-from .operators.build import IndexOptions, Tables, build, get_default
+from .operators.build import IndexOptions, Tables, build, duplicate_ids, get_default
 from .plans.query import AND, AND_NOT, OR, WILDCARD, Query, check_options
 
 
@@ -81,6 +81,30 @@ class SearchIndex:
             return self.tables.docs.where(F.lit(False))
         return self.tables.docs.where(F.col("ext_id") == F.lit(ident))
 
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """(id, found, stored) for each row of a table whose first column holds ids; the table keeps its size."""
+        kind = self.tables.docs.schema["ext_id"].dataType
+        own = ids.select(F.col(f"`{ids.columns[0]}`").alias("id"))
+        if isinstance(own.schema["id"].dataType, K.StringType) != isinstance(kind, K.StringType):
+            raise TypeError("ids of this type aren't those of the index")
+        docs = self.tables.docs.withColumn("found", F.lit(True)).drop("doc_ord")
+        both = own.join(docs, own["id"] == docs["ext_id"], "left")
+        return both.select("id", F.coalesce("found", F.lit(False)).alias("found"), *(["stored"] if "stored" in docs.columns else []))
+
+    def dictionary(self) -> DataFrame:
+        """(term, n_docs) of all terms, n_docs the most that one field has; in the order of their UTF-16 units."""
+        return self.tables.terms.groupBy("term").agg(F.max("df").alias("n_docs")).orderBy(F.encode("term", "UTF-16BE"))
+
+    def field_length(self, ident: Any, field: str) -> int:
+        """Distinct tokens of a document's field; 0 where it has none or isn't there."""
+        at = self._row(ident).select("doc_ord").join(self.tables.lengths.where(F.col("field_id") == self.options.fields.index(field)), "doc_ord").first()
+        return (at["len"] if at else 0) or 0
+
+    @staticmethod
+    def duplicate_ids(documents: DataFrame, id_field: str = "id") -> DataFrame:
+        """(id, count) of the ids that more than one row has; an index can't be built from those."""
+        return duplicate_ids(documents, id_field)
+
     def get_stored_fields(self, ident: Any) -> dict[str, Any] | None:
         row = self._row(ident).first()
         if row is None:

@@ -134,6 +134,15 @@ def tokenized(documents: DataFrame, o: IndexOptions) -> DataFrame:
     return documents.select("doc_ord", o.extract_field(o.id_field).alias("ext_id"), *stored, *extra)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores where the input is too small for a scan to do so, as one file may be; larger inputs aren't moved."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * piece else df
+
+
 def build(documents: DataFrame, o: IndexOptions) -> Tables:
     """The tables of an index. Ids must be there and differ."""
     ident = o.extract_field(o.id_field)
@@ -150,7 +159,7 @@ def build(documents: DataFrame, o: IndexOptions) -> Tables:
         numbered = documents.withColumn("doc_ord", F.col(order).cast("long"))
     else:
         numbered = with_ordinal(documents.withColumn("_order", F.col(order) if kind is not None else ident), "_order", "doc_ord").drop("_order")
-    tokens = tokenized(numbered, o)
+    tokens = tokenized(spread(numbered), o)
     docs = tokens.select("doc_ord", "ext_id", *(["stored"] if o.store_fields else []))
     every = tokens.select("doc_ord", F.posexplode(F.array(*[F.struct(F.col(f"tok_{i}").alias("tok")) for i in range(len(o.fields))])).alias("field_id", "x"))
     lengths = every.select("doc_ord", "field_id", F.when(F.col("x.tok").isNotNull(), T.field_length(F.col("x.tok"))).alias("len"))

@@ -177,11 +177,20 @@ def combine(parts: list[DataFrame], op: str) -> DataFrame:
     return grouped.select("doc_ord", "score", F.array_distinct(F.flatten(F.transform("all", lambda x: x["query_terms"]))).alias("query_terms"), found.alias("found"), "ord")
 
 
+def numbers_first(found: Column) -> Column:
+    """Terms that are whole numbers below 2**32 - 1, without leading zeros, stand first in their order; the others as they were."""
+    number = lambda e: e["term"].rlike("^(0|[1-9][0-9]{0,9})$") & (e["term"].try_cast("bigint") < 4294967295)
+    some = F.filter(found, lambda e: F.coalesce(number(e), F.lit(False)))
+    ordered = F.transform(F.array_sort(F.transform(some, lambda e: F.struct(e["term"].cast("bigint").alias("n"), e.alias("e")))), lambda x: x["e"])
+    return F.concat(ordered, F.filter(found, lambda e: ~F.coalesce(number(e), F.lit(False))))
+
+
 def finalize(raw: DataFrame, tables: Tables, query: Query, options: dict[str, Any], limit: int | None) -> DataFrame:
     """(id, score, terms, query_terms, match, stored fields), best first."""
     stored = "stored" in tables.docs.columns
     docs = tables.docs.select("doc_ord", "ext_id", *(["stored"] if stored else []))
     full = raw.withColumn("score", F.col("score") * F.greatest(F.size("query_terms"), F.lit(1))).join(docs, "doc_ord")
+    full = full.withColumn("found", numbers_first(F.col("found")))
     match = F.map_from_entries("found")
     cols = [F.col("ext_id").alias("id"), "score", F.transform("found", lambda e: e["term"]).alias("terms"), "query_terms", match.alias("match"), *(["stored.*"] if stored else [])]
     out = full.select("ord", "doc_ord", *cols)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,15 @@ from ..operators.build import IndexOptions, Tables
 CODECS = {"raw": "none", "zlib": "gzip", "zstd": "zstd", "auto": "zstd"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparquill-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where
+
+
 def save(index: Any, path: str, compression: str = "auto") -> None:
     """Write the tables; postings and terms lie sorted by term, so that a term's row groups are found by their bounds."""
     if compression not in CODECS:
