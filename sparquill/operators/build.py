@@ -138,7 +138,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over the cores where the input is too small for a scan to do so, as one file may be; larger inputs aren't moved."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(cores) if size < cores * piece else df
 

@@ -72,11 +72,11 @@ def _contributions(c: Corpus, w: Words, only: slice = slice(None)) -> str:
     k, b, d = w.bm25
     weight = "CASE " + " ".join(f"WHEN f = {c.number(n)} THEN {v}::double" for n, v in w.boost.items()) + " ELSE 1.0::double END" if w.boost else "1.0::double"
     # The edit distance of DuckDB counts bytes; query terms are ASCII, so any one byte can stand for another letter.
-    return f"""SELECT po.id, spec, q, kind, e.term, f, {w.doc_boost} * tw * tb * {weight} * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * ({d}::double + tf * {k + 1}::double / (tf + {k}::double * ({round(1 - b, 12)}::double + {b}::double / a * dl))) AS w
+    return f"""SELECT po.id, spec, q, kind, po.term, f, {w.doc_boost} * tw * tb * {weight} * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * ({d}::double + tf * {k + 1}::double / (tf + {k}::double * ({round(1 - b, 12)}::double + {b}::double / a * dl))) AS w
  FROM po JOIN (SELECT *, CASE kind WHEN 0 THEN 1.0::double WHEN 1 THEN {w.weights[0]}::double * l / (l + 0.3::double * (l - length(q))) ELSE {w.weights[1]}::double * l / (l + lev) END AS tw
-   FROM (SELECT *, CASE WHEN term = q THEN 0 WHEN pre AND starts_with(term, q) THEN 1 WHEN lev <= dist THEN 2 END AS kind
-     FROM (SELECT spec, q, pre, dist, tb, term, length(term)::double AS l, CASE WHEN dist > 0 THEN levenshtein(regexp_replace(term, '[^\\x00-\\x7f]', '#', 'g'), q) ELSE 1000 END AS lev
-       FROM (SELECT DISTINCT term FROM po), (VALUES {rows}) v(spec, q, pre, dist, tb))) WHERE kind IS NOT NULL) e ON po.term = e.term
+   FROM (SELECT *, CASE WHEN t = q THEN 0 WHEN pre AND starts_with(t, q) THEN 1 WHEN lev <= dist THEN 2 END AS kind
+     FROM (SELECT spec, q, pre, dist, tb, t, length(t)::double AS l, CASE WHEN dist > 0 THEN levenshtein(regexp_replace(t, '[^\\x00-\\x7f]', '#', 'g'), q) ELSE 1000 END AS lev
+       FROM (SELECT DISTINCT term AS t FROM po), (VALUES {rows}) v(spec, q, pre, dist, tb))) WHERE kind IS NOT NULL) e ON po.term = e.t
  JOIN dd USING (f, term) JOIN fl USING (id, f) JOIN st USING (f), nn WHERE f IN ({', '.join(map(str, wanted))}) AND coalesce({w.doc_boost}, 0) <> 0"""
 
 
