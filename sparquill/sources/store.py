@@ -7,6 +7,7 @@ import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.build import IndexOptions, Tables
 
@@ -32,7 +33,9 @@ def save(index: Any, path: str, compression: str = "auto") -> None:
     put(t.docs, "docs")
     put(t.lengths, "lengths")
     put(t.postings.repartitionByRange("term", "field_id", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord"), "postings")
-    put(t.terms.repartitionByRange("term").sortWithinPartitions("term", "field_id"), "terms")
+    # The postings just written say which terms there are; the documents aren't taken apart again.
+    terms = t.docs.sparkSession.read.parquet(f"{path}/postings").groupBy("term", "field_id").agg(F.first("df").alias("df"))
+    put(terms.repartitionByRange("term").sortWithinPartitions("term", "field_id"), "terms")
     meta = json.dumps({"fields": list(o.fields), "id_field": o.id_field, "store_fields": list(o.store_fields), "averages": list(t.averages), "count": t.count, "version": 1})
     spark = t.docs.sparkSession
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
