@@ -146,7 +146,8 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
 
     The references are those of ``docs`` itself. A null language is one of its own. A null text, or one without a
     letter, isn't kept. Distances are null where the length guard holds, and such a document passes that rule.
-    Repeated rows are judged alike; an empty table gives no rows. ``docs`` must not have the added names; prefix them.
+    Repeated rows are judged alike; an empty table gives no rows. Columns of the added names are replaced; a prefix saves
+    them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_tables(references(docs, lang_col, text_col)))
@@ -160,10 +161,11 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
         rows = [distances(t, tables.get(g)) if t else (0, 0, None, None) for g, t in zip(langs, texts, strict=True)]
         return pd.DataFrame({"n_words": pd.array([r[1] for r in rows], "int32"), "char_distance": pd.array([r[2] for r in rows], "Float64"), "word_distance": pd.array([r[3] for r in rows], "Float64")})
 
+    added = {f"{prefix}{c}" for c in ("n_words", "char_distance", "word_distance", "keep")}
     out = docs.withColumn("_sq_m", measure(lang, F.col(f"`{text_col}`")))
     m = F.col("_sq_m")
     passes = (m["n_words"] > 0) & F.coalesce(m["char_distance"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(m["word_distance"] <= MAX_WORD_DISTANCE, F.lit(True))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], m["n_words"].alias(f"{prefix}n_words"), m["char_distance"].alias(f"{prefix}char_distance"), m["word_distance"].alias(f"{prefix}word_distance"), passes.alias(f"{prefix}keep"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], m["n_words"].alias(f"{prefix}n_words"), m["char_distance"].alias(f"{prefix}char_distance"), m["word_distance"].alias(f"{prefix}word_distance"), passes.alias(f"{prefix}keep"))
 
 
 def drop_low_quality(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,93 @@
+import random
+
+import pytest
+
+from rows import awkward, letters, with_extras
+from sparquill.llm import pii
+from sparquill.llm.pii_labels import labelled_rows
+
+SCHEMA = "doc_id long, text string"
+VALUES = [("EMAIL", "anna.b7@mail3.example.com"), ("PHONE", "+44 (555) 123-4567"), ("PHONE", "555-123-4567"), ("IP", "10.20.30.250"), ("CARD", "4111111111111111"), ("SECRET", "0123456789abcdef0123456789abcdef01234567")]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train(labelled_rows())
+
+
+def spans(tags):
+    out, now = [], None
+    for i, t in enumerate([*tags, "O"]):
+        if now and not (t[0] == "I" and t[2:] == now[1]):
+            out.append((now[0], i, now[1]))
+            now = None
+        if t[0] == "B" or (t[0] == "I" and not now):
+            now = (i, t[2:])
+    return out
+
+
+def test_held_out_accuracy(model):
+    right = found = there = 0
+    for tokens, tags in labelled_rows(600, seed=77):
+        if not tokens:
+            continue
+        got = spans([pii.LABELS[y] for y in pii.viterbi(model, [model.emissions(tokens)], [True])[0]])
+        want = spans(tags)
+        right += len(set(got) & set(want))
+        found, there = found + len(got), there + len(want)
+    assert right / found > 0.95 and right / there > 0.95
+
+
+def test_viterbi_is_the_best_path(model):
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    e = r.normal(size=(4, len(pii.LABELS)))
+    for start in (True, False):
+        begin = model.first if start else model.trans[pii.O]
+        score = lambda p, begin=begin: begin[p[0]] + e[range(4), p].sum() + sum(model.trans[a, b] for a, b in zip(p, p[1:], strict=False))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=4), key=lambda p: score(list(p)))
+        assert pii.viterbi(model, [e], [start])[0].tolist() == list(best)
+
+
+def test_cutting_texts_changes_nothing(model):
+    gap = pii.safe_gap(model)
+    assert gap is not None
+    r = random.Random(5)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            parts += [letters(r, r.choice([0, 1, 3, 8, 40])), r.choice([v for _, v in VALUES] + ["7", "(a)", "3.5", "x=1", "\"quoted\""])]
+        texts.append(r.choice([" ", "\n", "  "]).join(p for p in parts if p))
+    assert pii.tag_texts(model, texts, gap) == pii.tag_texts(model, texts, None)
+
+
+def test_planted_values(spark, model):
+    r = random.Random(8)
+    rows, want = [], set()
+    for n in range(120):
+        kind, value = VALUES[n % len(VALUES)]
+        rows.append((n, f"{letters(r, r.randint(3, 30))} {value} {letters(r, r.randint(3, 30))}"))
+        want.add((n, kind, value))
+    rows += [(500 + n, letters(r, 50) + " 12 of 2024, page 3.") for n in range(40)]
+    out = pii.tag(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(dict(rows)[x["doc_id"]][x["start"] : x["end"]] == x["value"] for x in out)
+    have = {(x["doc_id"], x["kind"], x["value"]) for x in out}
+    assert len(have & want) >= 0.95 * len(want) and not [x for x in have if x[0] >= 500]
+
+
+def test_awkward_rows(spark):
+    mail = "write to anna.b7@mail3.example.com now"
+    rows = [(i, t) for i, t in awkward() if i != 5] + [(50, mail), (50, mail), (None, mail), (51, "plain " * 50_000 + mail)]
+    df = with_extras(spark.createDataFrame(rows, SCHEMA))
+    out = [(x["doc_id"], x["kind"], x["start"]) for x in pii.tag(df).collect() if x["kind"] == "EMAIL"]
+    assert sorted(out, key=str) == sorted([(50, "EMAIL", 9), (50, "EMAIL", 9), (None, "EMAIL", 9), (51, "EMAIL", 300_009)], key=str)
+    hidden = pii.redact(df.where("doc_id = 50 or text is null or text = ''"))
+    assert hidden.columns == df.columns and {r["text"] for r in hidden.collect()} == {"write to [EMAIL] now", None, ""}
+
+
+def test_empty(spark):
+    assert pii.tag(spark.createDataFrame([], SCHEMA)).count() == 0
