@@ -4,6 +4,7 @@ Each distinct set of word n-grams is embedded as ``SLOTS`` min-hash tokens. In e
 a shared hash of (run, path, token) samples, ``FANOUT`` of them on average, so two sets with Jaccard similarity s stay
 together along a path with probability 1 - exp(-FANOUT * s). A bucket of a path is brute-forced once it is small, or
 where its sets agree so much that sampling wouldn't split them; else each of its sets follows sampled tokens further.
+Buckets of many thousands of sets that agree that much are brute-forced too, by pairs of blocks in tasks of their own.
 Runs are independent and are repeated until the pairs at the threshold are found with the target recall. Candidates
 that pass the sketch are verified on the whole sets, so that every pair returned is exact.
 """
@@ -30,6 +31,9 @@ SLOTS, FANOUT = 128, 2.0
 SMALL = 48
 #: Buckets beyond this size are split by Spark, the others within a task.
 IN_TASK = 20_000
+#: A large bucket with more than this share of its parent's sets isn't worth splitting again: pairs would only be compared
+#: more often. It is brute-forced in blocks of so many sets.
+DENSE, BLOCK = 0.5, 4000
 #: The sketch lets pass what is no more than this many standard deviations below the threshold.
 DEVIATIONS = 3.5
 
@@ -201,13 +205,24 @@ def _next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 4000)
             row, child = chosen(part.column("path").to_numpy().view(np.uint64), _sig_matrix(part.column("sig")))
             p = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), p.column("s1"), p.column("s2")], ["path", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), p.column("s1"), p.column("s2"), p.column("above")], ["path", "s1", "s2", "above"])
+
+
+def _block_pairs(sig: np.ndarray, side: np.ndarray, lo: int, hi: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a left and a right block (sides 1 and 2), or of a block with itself (side 3)."""
+    left = np.arange(lo, hi)[side[lo:hi] != 2]
+    right = np.arange(lo, hi)[side[lo:hi] == 2]
+    for k, x in enumerate(left):
+        others = left[k + 1 :] if side[x] == 3 else right
+        hit = others[(sig[others] == sig[x]).sum(axis=1) >= least] if len(others) else others
+        yield np.full(len(hit), x), hit
 
 
 def _candidates(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_groups(batches, "path", 8000):
             path = batch.column("path").to_numpy()
+            side = batch.column("side").to_numpy()
             s1, s2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
             sig = _sig_matrix(batch.column("sig"))
             at = bounds(path)
@@ -215,7 +230,11 @@ def _candidates(least: int):
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                if hi - lo <= SMALL:
+                if side[lo]:
+                    for a, b in _block_pairs(sig, side, lo, hi, least):
+                        left.append(a)
+                        right.append(b)
+                elif hi - lo <= SMALL:
                     small.append(np.arange(lo, hi))
                 else:
                     for a, b in bucket_pairs(sig, np.arange(lo, hi), int(path[lo].view(np.uint64)), least):
@@ -276,6 +295,16 @@ def _verify(threshold: float):
     return run
 
 
+def _blocks_of(dense: DataFrame) -> DataFrame:
+    """(path, s1, s2, side): each set of a bucket goes to all pairs of blocks that its own block is in."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = dense.withColumn("m", F.pmod(F.xxhash64("path", "s1", "s2"), blocks).cast("int"))
+    other = own.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lo, hi = F.least("m", "o"), F.greatest("m", "o")
+    side = F.when(F.col("m") == F.col("o"), 3).when(F.col("m") < F.col("o"), 1).otherwise(2)
+    return other.select(F.xxhash64("path", lo, hi, F.lit(5)).alias("path"), "s1", "s2", side.alias("side"))
+
+
 def similar_sets(keyed: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the set of each row, and the pairs of different sets with at least this similarity."""
     runs = runs_for(threshold, recall)
@@ -286,21 +315,28 @@ def similar_sets(keyed: DataFrame, n: int, threshold: float, recall: float) -> t
     sets = sk.dropDuplicates(["s1", "s2"]).select("s1", "s2", KA, KB, "sig")
     sets = cut(sets)
     sigs = sets.select("s1", "s2", "sig")
-    same_path = Window.partitionBy("path")
     found = []
-    rows = sigs.mapInArrow(_first_paths(runs), "path long, s1 long, s2 long")
+    rows = sigs.mapInArrow(_first_paths(runs), "path long, s1 long, s2 long").withColumn("above", F.lit(None).cast("long"))
+    size = F.col("n")
     while True:
-        rows = cut(rows.withColumn("n", F.count("*").over(same_path)).where("n > 1"))
-        found.append(rows.where(F.col("n") <= IN_TASK))
-        large = rows.where(F.col("n") > IN_TASK)
-        if large.isEmpty():
+        # Sizes come by an aggregation with partial counts, so that no task has to hold a large bucket.
+        rows = cut(rows)
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        rows = rows.join(small_side(sizes), "path")
+        fits = rows.where(size <= IN_TASK).select("path", "s1", "s2", F.lit(0).alias("side"))
+        found.append(fits)
+        if sizes.where(size > IN_TASK).isEmpty():
             break
-        rows = large.select("path", "s1", "s2").join(sigs, ["s1", "s2"]).select("path", "s1", "s2", "sig").mapInArrow(_next_paths, "path long, s1 long, s2 long").distinct()
+        large = rows.where(size > IN_TASK)
+        dense = F.coalesce(size > F.col("above") * DENSE, F.lit(False))
+        found.append(_blocks_of(large.where(dense)))
+        further = large.where(~dense).select("path", "s1", "s2", size.alias("above")).join(sigs, ["s1", "s2"])
+        rows = further.select("path", "above", "s1", "s2", "sig").mapInArrow(_next_paths, "path long, s1 long, s2 long, above long").dropDuplicates(["path", "s1", "s2"])
     buckets = found[0]
     for more in found[1:]:
         buckets = buckets.unionByName(more)
     pairs = (
-        buckets.select("path", "s1", "s2").join(sigs, ["s1", "s2"]).select("path", "s1", "s2", "sig")
+        buckets.join(sigs, ["s1", "s2"]).select("path", "s1", "s2", "side", "sig")
         .repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(least), "path long, a1 long, a2 long, b1 long, b2 long")
         .groupBy("a1", "a2", "b1", "b2").agg(F.min("path").alias("path"))
     )

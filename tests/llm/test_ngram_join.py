@@ -50,6 +50,7 @@ def test_recall_and_precision(spark):
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(J, "SMALL", 3)
     monkeypatch.setattr(J, "IN_TASK", 12)
+    monkeypatch.setattr(J, "BLOCK", 7)
     r = random.Random(8)
     rows = corpus(5, 150)
     rows += [(1000 + i, "alpha beta gamma delta " + words(r, 20)) for i in range(60)]
