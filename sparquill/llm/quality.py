@@ -25,7 +25,7 @@ COMMON_WORDS = 50
 #: Documents of fewer characters aren't judged by character classes, those of fewer words not by words.
 MIN_CHARS, MIN_WORDS = 300, 80
 #: Largest distances (square root of the divergence in bits) that pass.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.18, 0.38
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.38
 
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "other")
 STOPS = ".,;:!?'\"()-"

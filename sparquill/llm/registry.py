@@ -102,7 +102,7 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, text, length(text) AS nc,
  wj AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS wd
         FROM (SELECT d.doc_id, coalesce(own.n, 0) / len(ws)::double AS p, q FROM d JOIN ref USING (lang) LEFT JOIN own ON own.doc_id = d.doc_id AND own.word = ref.word WHERE len(ws) >= 80) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_words, round(cd, 5) AS char_distance, round(wd, 5) AS word_distance
-FROM d LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id) WHERE len(ws) > 0 AND coalesce(cd <= 0.18, true) AND coalesce(wd <= 0.38, true)
+FROM d LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id) WHERE len(ws) > 0 AND coalesce(cd <= 0.22, true) AND coalesce(wd <= 0.38, true)
 """
 
 _JOIN = r"""
