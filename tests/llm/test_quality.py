@@ -47,7 +47,7 @@ def corpus():
     r = random.Random(3)
     common = letters(r, 60).split()
     good = lambda n: " ".join(r.choice(common) if r.random() < 0.6 else letters(r, 1) for _ in range(n)).capitalize() + "."
-    rows = [(i, r.choice(["en", "fr", None]), good(r.randint(5, 200))) for i in range(90)]
+    rows = [(i, r.choice(["en", "fr", None]), good(r.choice([r.randint(5, 70), 400]))) for i in range(90)]
     rows += [(100, "en", "### $$$ %%% " * 100), (101, "en", " ".join(str(r.random()) for _ in range(100))), (102, "fr", letters(r, 300)), (103, "xx", "alone"), (104, "en", (common[0] + " ") * 300)]
     return rows + [(i, "zz", t) for i, t in awkward()]
 
