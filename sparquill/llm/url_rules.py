@@ -46,7 +46,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     rows = items.count()
     if rows < min_count:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / rows), minConfidence=min_confidence).fit(items)
+    # FP-growth rounds the product of support and rows up; half a row less comes to the count, however it is rounded.
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / rows), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("n_tokens", F.size("tokens")).withColumn("rule_id", F.xxhash64("tokens")))
     # A rule within which a shorter one is as confident says nothing more. Rules with a part share each of its tokens.
