@@ -162,7 +162,8 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
         return pd.DataFrame({"n_words": pd.array([r[1] for r in rows], "int32"), "char_distance": pd.array([r[2] for r in rows], "Float64"), "word_distance": pd.array([r[3] for r in rows], "Float64")})
 
     added = {f"{prefix}{c}" for c in ("n_words", "char_distance", "word_distance", "keep")}
-    out = docs.withColumn("_sq_m", measure(lang, F.col(f"`{text_col}`")))
+    # As it is said not to be deterministic, the filter on it isn't pushed below it, where it would be computed again.
+    out = docs.withColumn("_sq_m", measure.asNondeterministic()(lang, F.col(f"`{text_col}`")))
     m = F.col("_sq_m")
     passes = (m["n_words"] > 0) & F.coalesce(m["char_distance"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(m["word_distance"] <= MAX_WORD_DISTANCE, F.lit(True))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], m["n_words"].alias(f"{prefix}n_words"), m["char_distance"].alias(f"{prefix}char_distance"), m["word_distance"].alias(f"{prefix}word_distance"), passes.alias(f"{prefix}keep"))
