@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,6 +26,9 @@ COMMON_WORDS = 50
 MIN_CHARS, MIN_WORDS = 300, 80
 #: Largest distances (square root of the divergence in bits) that pass.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.38
+#: A text of n words may be WORD_NOISE / sqrt(n) away by its words, which is sampling noise; at least the second, as
+#: references of few documents have noise of their own.
+WORD_NOISE, LEAST_WORD_DISTANCE = 6.25, 0.15
 
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "other")
 STOPS = ".,;:!?'\"()-"
@@ -141,9 +144,15 @@ def distances(text: str | None, table: tuple[np.ndarray, dict[str, int], np.ndar
     return len(text), len(found), by_char, by_word
 
 
-def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text", prefix: str = "") -> DataFrame:
+def word_limit(n_words: Column) -> Column:
+    """Largest word distance that passes, by the number of words."""
+    return F.least(F.lit(MAX_WORD_DISTANCE), F.greatest(F.lit(LEAST_WORD_DISTANCE), F.lit(WORD_NOISE) / F.sqrt(n_words)))
+
+
+def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text", prefix: str = "", falling: bool = True) -> DataFrame:
     """``docs`` with n_words, char_distance, word_distance and keep added, each name after ``prefix``.
 
+    The limit of the word distance falls with the number of words; without ``falling`` it is MAX_WORD_DISTANCE for all.
     The references are those of ``docs`` itself. A null language is one of its own. A null text, or one without a
     letter, isn't kept. Distances are null where the length guard holds, and such a document passes that rule.
     Repeated rows are judged alike; an empty table gives no rows. Columns of the added names are replaced; a prefix saves
@@ -165,7 +174,8 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
     # As it is said not to be deterministic, the filter on it isn't pushed below it, where it would be computed again.
     out = docs.withColumn("_sq_m", measure.asNondeterministic()(lang, F.col(f"`{text_col}`")))
     m = F.col("_sq_m")
-    passes = (m["n_words"] > 0) & F.coalesce(m["char_distance"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(m["word_distance"] <= MAX_WORD_DISTANCE, F.lit(True))
+    limit = word_limit(m["n_words"]) if falling else F.lit(MAX_WORD_DISTANCE)
+    passes = (m["n_words"] > 0) & F.coalesce(m["char_distance"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(m["word_distance"] <= limit, F.lit(True))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], m["n_words"].alias(f"{prefix}n_words"), m["char_distance"].alias(f"{prefix}char_distance"), m["word_distance"].alias(f"{prefix}word_distance"), passes.alias(f"{prefix}keep"))
 
 

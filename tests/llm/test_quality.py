@@ -83,3 +83,15 @@ def test_without_a_language_column(spark):
 
 def test_empty(spark):
     assert Q.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_word_limit_falls_with_length(spark):
+    r = random.Random(5)
+    common = letters(r, 60).split()
+    said = lambda n, share: " ".join(r.choice(common) if r.random() < share else letters(r, 1) for _ in range(n))
+    rows = [(i, "en", said(600, 0.6)) for i in range(60)] + [(100, "en", said(1600, 0.23)), (101, "en", said(100, 0.6)), (102, "en", said(3000, 0.6))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fixed, falling = ({x["doc_id"]: x for x in Q.judge(df, falling=f).collect()} for f in (False, True))
+    assert Q.LEAST_WORD_DISTANCE < falling[100]["word_distance"] < Q.MAX_WORD_DISTANCE
+    assert {i for i, x in fixed.items() if not x["keep"]} == set()
+    assert {i for i, x in falling.items() if not x["keep"]} == {100} == set(fixed) - {x["doc_id"] for x in Q.drop_low_quality(df).collect()}
