@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -220,6 +220,20 @@ add(
     Q.search(Q.Corpus("(SELECT conv_id || '-' || turn AS key, min(role) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)", "key", (("role", "role"),)), Q.Words(("user", "system")), "id AS key"),
 )
 
+
+def turns(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """Role and text of every distinct row; rows of one turn of a conversation are numbered."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
+    key = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("conv_id", "turn")], number.cast("string"))
+    rows = said.select(key.alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return SearchIndex.from_dataframe(rows, IndexOptions(fields=("role", "text"), id_field="key"))
+
+
+_TURNS = """(SELECT coalesce(conv_id::varchar, 'null') || '-' || coalesce(turn::varchar, 'null') || '-' || row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS key,
+ coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations))"""
+add("search_conversation_texts", lambda s, d: scored(turns(s, d).search("user the der"), "key"), Q.search(Q.Corpus(_TURNS, "key", (("role", "role"), ("text", "text"))), Q.Words(("user", "the", "der")), "id AS key"))
+
 # Ways in and out; each gives what the index itself gives.
 
 

@@ -78,3 +78,15 @@ def test_lookup_and_lengths(spark):
     assert [r["term"] for r in index.dictionary().collect()] == ["x", "y"]
     with pytest.raises(TypeError):
         index.lookup(spark.createDataFrame([(1,)], "k int"))
+
+
+def test_texts_of_turns_are_searched(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 0, "user", "where is the ring"), (1, 0, "user", "der Ring"), (1, 0, "user", "der Ring"), (1, 0, "assistant", "the the red"), (1, 1, "assistant", "nothing"), (2, 0, None, "the end"), (2, 1, "system", None), (None, 0, "user", "the null"), (3, None, "tool", "der")]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    got = {r["key"]: r["score"] for r in registry.QUERIES["search_conversation_texts"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(dict(con.execute(registry.ORACLE_SQL["search_conversation_texts"]).fetchall()), abs=2e-6)
+    assert got.keys() == {"1-0-1", "1-0-2", "1-0-3", "2-0-1", "null-0-1", "3-null-1"}
