@@ -15,9 +15,12 @@ CODECS = {"raw": "none", "zlib": "gzip", "zstd": "zstd", "auto": "zstd"}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share, by ``spark.checkpoint.dir``. A temporary one is made only where that is unset on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparquill-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
