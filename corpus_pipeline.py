@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import bpe, decontaminate, line_dedup, ngram_join, quality
-from sparquill.llm.common import ensure_checkpoint_dir
+from sparquill.llm.common import remove, work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read by the next."""
-    where = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each is written as Parquet in the shared folder and read by the next.
+
+    Null, empty and blank texts go at the first stage, as they have no letter; null ids stay, and null languages are a
+    language. Rows repeated whole are copies, of which one stays. Ties are settled as each operator says. Texts of any
+    length are whole, an empty table gives no rows, and other columns pass until the last stage, which has its own.
+    """
+    where = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = ""
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{where}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
-import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Names of the two 64-bit halves of a row key; unlikely to clash with a caller's columns.
 KA, KB = "_sq_key_a", "_sq_key_b"
 
 WORD = re.compile(r"[^\W_]+")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def work_folder(spark: SparkSession) -> str:
+    """A folder for this application's intermediate tables in the shared one; it is removed when the driver ends."""
     sc = spark.sparkContext
-    if where:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(where)
-        return where
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparquill-"))
-    return sc.getCheckpointDir()
+    where = f"{shared_folder(spark)}/sparquill-{sc.applicationId}"
+    if where not in _FOLDERS:
+        _FOLDERS.add(where)
+        atexit.register(remove, spark, where)
+    return where
+
+
+_FOLDERS: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Exception):  # the driver's JVM may have ended before
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there, and losing executors loses nothing."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sq_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote; nothing that is still to be computed may read it."""
+    for t in tables:
+        remove(t.sparkSession, t._sq_path)
 
 
 #: Rows of keys that are broadcast at most; beyond it the join is left to a shuffle.
@@ -55,12 +77,12 @@ def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def select_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, key) and nothing else, whatever other columns there are."""
-    return with_key(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
+    """(id, text, key) and nothing else, whatever other columns there are. Ids keep their type."""
+    return with_key(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
 
 
-def flat_long(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64), pa.int64())
+def type_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
 
 def lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -139,6 +161,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(31)
     return x
 
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Each distinct set of word n-grams is embedded as ``SLOTS`` min-hash tokens. In every run a set follows the tokens that
-a shared hash of (run, path, token) samples, ``FANOUT`` of them on average, so two sets with Jaccard similarity s stay
-together along a path with probability 1 - exp(-FANOUT * s). A bucket of a path is brute-forced once it is small, or
-where its sets agree so much that sampling wouldn't split them; else each of its sets follows sampled tokens further.
-Buckets of many thousands of sets that agree that much are brute-forced too, by pairs of blocks in tasks of their own.
-Runs are independent and are repeated until the pairs at the threshold are found with the target recall. Candidates
-that pass the sketch are verified on the whole sets, so that every pair returned is exact.
+a shared hash of (run, path, token) samples, as many as let two sets at the threshold share
+``SHARED`` of those they follow, on average. As that is more than one, the paths they share
+branch and don't die out, and the chance that they stay together has a lower bound that holds at any depth. A bucket of
+a path is brute-forced once it is small, or where its sets agree so much that sampling wouldn't split them; else each of
+its sets follows sampled tokens further. Buckets of many thousands of sets that agree that much are brute-forced too, by
+pairs of blocks in tasks of their own. Runs are independent and are repeated until a pair at the threshold is found with
+the target recall, however deep its buckets are split. Candidates that pass the sketch are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KA, KB, WORD, bounds, cut, lists, mix64, select_in, small_side, sorted_groups, with_key
+from .common import KA, KB, WORD, bounds, chunked, cut, lists, mix64, release, select_in, small_side, sorted_groups, type_of, with_key
 
 N = 3
 THRESHOLD = 0.5
 TARGET_RECALL = 0.99
-#: Tokens of a set's embedding, and how many of them a set follows from each node, on average.
-SLOTS, FANOUT = 128, 2.0
+#: Tokens of a set's embedding, and how many of those that a pair at the threshold shares both follow from each node, on average.
+SLOTS, SHARED = 128, 1.75
 #: Buckets up to this size are brute-forced.
 SMALL = 48
 #: Buckets beyond this size are split by Spark, the others within a task.
@@ -34,8 +35,13 @@ IN_TASK = 20_000
 #: A large bucket with more than this share of its parent's sets isn't worth splitting again: pairs would only be compared
 #: more often. It is brute-forced in blocks of so many sets.
 DENSE, BLOCK = 0.5, 4000
+#: Sets that agree with their bucket this much, as a share of what the sketch lets pass, are brute-forced in a task; so
+#: are those that would share so many followed tokens with others that splitting wouldn't thin the bucket out.
+ALIKE, SPLITS = 0.75, 0.9
 #: The sketch lets pass what is no more than this many standard deviations below the threshold.
 DEVIATIONS = 3.5
+#: N-grams that a task of the verification holds at a time; buckets with more are verified by pairs of blocks.
+HELD_GRAMS = 4_000_000
 
 _U = np.uint64
 _SLOT_XOR = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -43,10 +49,32 @@ _SLOT_MUL = (mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * _U(0xD1B54A32D192E
 _SLOT_NO = np.arange(SLOTS, dtype=np.uint64) << _U(32)
 
 
+def least_equal(threshold: float) -> int:
+    """Equal tokens that a pair needs to be verified."""
+    return max(1, math.floor(SLOTS * threshold - DEVIATIONS * math.sqrt(SLOTS * threshold * (1 - threshold))))
+
+
+def fanout(threshold: float) -> float:
+    """Tokens that a set follows from each node, on average."""
+    return SHARED / threshold
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold is found with this probability, if it has to survive two nodes."""
-    once = (1 - math.exp(-FANOUT * threshold)) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
+    """Runs until a pair at the threshold is found with this probability, through any number of nodes.
+
+    The number k of equal tokens of the pair is binomial. Given k, a node loses the pair unless a token that both follow
+    leads to a node that doesn't; q = 1 - (1 - q * fanout / SLOTS) ** k is the chance that no node ever does.
+    """
+    k = np.arange(least_equal(threshold), SLOTS + 1)
+    log_p = np.array([math.lgamma(SLOTS + 1) - math.lgamma(x + 1) - math.lgamma(SLOTS - x + 1) for x in k]) + k * math.log(threshold) + (SLOTS - k) * math.log(max(1 - threshold, 1e-300))
+    p = np.exp(log_p)
+    q = np.ones(len(k))
+    for _ in range(2000):
+        q = 1 - (1 - q * fanout(threshold) / SLOTS) ** k
+    for runs in range(1, 400):
+        if (p * (1 - (1 - q) ** runs)).sum() >= recall:
+            return runs
+    raise ValueError(f"no number of runs reaches a recall of {recall} at {threshold}; DEVIATIONS bounds it")
 
 
 class _Hashes(dict):
@@ -80,9 +108,14 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def short(sig: np.ndarray) -> np.ndarray:
+    """A byte of each token. Tokens that differ have equal ones by chance only, which lets more pass but loses nothing."""
+    return (mix64(sig.astype(np.uint64)) & _U(255)).astype(np.uint8)
+
+
+def chosen(path: np.ndarray, sig: np.ndarray, fan: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child path) for each token that a row's path samples."""
-    limit = _U(int(FANOUT / SLOTS * 2**32))
+    limit = _U(int(fan / SLOTS * 2**32))
     with np.errstate(over="ignore"):
         h = mix64((sig.astype(np.uint64) | _SLOT_NO) * _U(0xA24BAED4963EE407) + path[:, None])
     row, slot = np.nonzero((h >> _U(32)) < limit)
@@ -104,280 +137,355 @@ def _all_pairs(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _similar(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    keep = [np.zeros(0, np.int64)]
-    for lo in range(0, len(a), 20_000):
-        same = (sig[a[lo : lo + 20_000]] == sig[b[lo : lo + 20_000]]).sum(axis=1)
-        keep.append(np.flatnonzero(same >= least) + lo)
-    return np.concatenate(keep)
-
-
-def bucket_pairs(sig: np.ndarray, members: np.ndarray, path: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one large bucket: brute force where sets agree, else the next nodes of the paths."""
-    todo: list[tuple[int, np.ndarray]] = [(path, members)]
-    while todo:
-        p, rows = todo.pop()
-        # The average similarity of each set to the bucket, from the counts of equal tokens.
-        s = sig[rows]
-        agree = np.zeros(len(rows))
-        for slot in range(SLOTS):
-            _, inverse, count = np.unique(s[:, slot], return_inverse=True, return_counts=True)
-            agree += count[inverse] - 1
-        mean = agree / (SLOTS * max(1, len(rows) - 1))
-        dense = mean >= 0.75 * least / SLOTS
-        if dense.any():
-            d, rest = rows[dense], rows[~dense]
-            for k, x in enumerate(d):
-                others = np.concatenate([d[k + 1 :], rest])
-                if len(others):
-                    hit = np.flatnonzero((sig[others] == sig[x]).sum(axis=1) >= least)
-                    yield np.full(len(hit), x), others[hit]
-            rows = rest
-        if len(rows) < 2:
-            continue
-        r, child = chosen(np.full(len(rows), p, np.uint64), sig[rows])
-        order = np.argsort(child, kind="stable")
-        r, child = r[order], child[order]
-        at = bounds(child)
-        small = []
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            if hi - lo < 2:
+def equal_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal bytes of each row; eight are counted at a time, each in a byte of its own that can't overflow."""
+    same = np.ascontiguousarray(x == y).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        low = (same & _U(0x00FF00FF00FF00FF)) + ((same >> _U(8)) & _U(0x00FF00FF00FF00FF))
+        return ((low * _U(0x0001000100010001)) >> _U(48)).astype(np.int64)
+
+
+class _Bucket:
+    """Sets of a batch: bytes of their tokens, and their sizes, which can't differ too much in a similar pair."""
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray, threshold: float):
+        self.sig, self.size, self.threshold, self.least = sig, size, threshold, least_equal(threshold)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these pairs pass."""
+        x, y = self.size[a], self.size[b]
+        near = np.flatnonzero(np.minimum(x, y) >= self.threshold * np.maximum(x, y) - 1e-6)
+        keep = [np.zeros(0, np.int64)]
+        for lo in range(0, len(near), 8000):
+            at = near[lo : lo + 8000]
+            keep.append(at[equal_tokens(self.sig[a[at]], self.sig[b[at]]) >= self.least])
+        return np.concatenate(keep)
+
+    def against(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that pass with x."""
+        n = self.size[others]
+        near = others[np.minimum(n, self.size[x]) >= self.threshold * np.maximum(n, self.size[x]) - 1e-6]
+        return near[equal_tokens(self.sig[near], self.sig[x]) >= self.least] if len(near) else near
+
+    def pairs(self, members: np.ndarray, path: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidate pairs of one large bucket: brute force where sets agree, else the next nodes of the paths."""
+        fan = fanout(self.threshold)
+        alike = min(ALIKE * self.least / SLOTS, SPLITS / fan)
+        todo: list[tuple[int, np.ndarray]] = [(path, members)]
+        while todo:
+            p, rows = todo.pop()
+            # The average similarity of each set to the bucket, from the counts of equal tokens.
+            s = self.sig[rows]
+            agree = np.zeros(len(rows))
+            for slot in range(SLOTS):
+                agree += np.bincount(s[:, slot], minlength=256)[s[:, slot]] - 1
+            dense = agree >= alike * SLOTS * max(1, len(rows) - 1)
+            if dense.any():
+                d, rest = rows[dense], rows[~dense]
+                for k, x in enumerate(d):
+                    hit = self.against(x, np.concatenate([d[k + 1 :], rest]))
+                    yield np.full(len(hit), x), hit
+                rows = rest
+            if len(rows) < 2:
                 continue
-            if hi - lo <= SMALL:
-                small.append(rows[r[lo:hi]])
-            else:
-                todo.append((int(child[lo]), rows[r[lo:hi]]))
-        a, b = _all_pairs(small)
-        keep = _similar(sig, a, b, least)
-        yield a[keep], b[keep]
+            r, child = chosen(np.full(len(rows), p, np.uint64), self.sig[rows], fan)
+            order = np.argsort(child, kind="stable")
+            r, child = r[order], child[order]
+            at = bounds(child)
+            small = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if hi - lo < 2:
+                    continue
+                if hi - lo <= SMALL:
+                    small.append(rows[r[lo:hi]])
+                else:
+                    todo.append((int(child[lo]), rows[r[lo:hi]]))
+            a, b = _all_pairs(small)
+            keep = self.similar(a, b)
+            yield a[keep], b[keep]
 
+    def block_pairs(self, side: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a left and a right block (sides 1 and 2), or of a block with itself (side 3)."""
+        left = np.arange(lo, hi)[side[lo:hi] != 2]
+        right = np.arange(lo, hi)[side[lo:hi] == 2]
+        for k, x in enumerate(left):
+            hit = self.against(x, left[k + 1 :] if side[x] == 3 else right)
+            yield np.full(len(hit), x), hit
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(id, key, set hash s1 s2, size, sig) of every row that has words."""
+
+def sketches(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
+    """(id, key, set hash s1 s2, size, sig, paths) of every row; of rows without words the last five are null."""
+    fan = fanout(threshold)
+    roots = mix64(np.arange(1, runs + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                s1, s2, size, sigs, kept = [], [], [], [], []
-                for i, t in enumerate(part.column("text").to_pylist()):
-                    g = shingles(t, n, hashes)
-                    if len(g):
-                        kept.append(i)
-                        size.append(len(g))
-                        h = xxhash.xxh3_128_digest(g.tobytes())
-                        s1.append(int.from_bytes(h[:8], "big", signed=True))
-                        s2.append(int.from_bytes(h[8:], "big", signed=True))
-                        sigs.append(sketch(g).tobytes())
+        for part in chunked(batches, "text", 2_000_000):
+            s1, s2, size, sigs, kept = [], [], [], [], []
+            for i, t in enumerate(part.column("text").to_pylist()):
+                g = shingles(t, n, hashes)
+                if len(g):
+                    kept.append(i)
+                    size.append(len(g))
+                    h = xxhash.xxh3_128_digest(g.tobytes())
+                    s1.append(int.from_bytes(h[:8], "big", signed=True))
+                    s2.append(int.from_bytes(h[8:], "big", signed=True))
+                    sigs.append(sketch(g))
                 if len(hashes) > 500_000:
                     hashes.clear()
-                p = part.take(pa.array(kept, pa.int64()))
-                yield pa.RecordBatch.from_arrays([p.column("id"), p.column(KA), p.column(KB), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary())], ["id", KA, KB, "s1", "s2", "size", "sig"])
-
-    return docs.select("id", KA, KB, "text").mapInArrow(run, f"id long, {KA} long, {KB} long, s1 long, s2 long, size int, sig binary")
+            sig = np.stack(sigs) if sigs else np.zeros((0, SLOTS), np.uint32)
+            row, path = [], []
+            for root in roots:
+                r, child = chosen(np.full(len(sig), root, np.uint64), sig, fan)
+                row.append(r)
+                path.append(child)
+            row, path = np.concatenate(row), np.concatenate(path)
+            order = np.argsort(row, kind="stable")
+            paths = lists(path[order].view(np.int64), np.bincount(row, minlength=len(sig)), pa.int64())
+            bytes_ = short(sig)
+            found = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array([x.tobytes() for x in bytes_], pa.binary()), paths]
+            at = np.full(part.num_rows, -1)
+            at[kept] = np.arange(len(kept))
+            take = pa.array(at, mask=at < 0)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column(KA), part.column(KB), *(x.take(take) for x in found)], ["id", KA, KB, "s1", "s2", "size", "sig", "paths"])
+
+    return docs.select("id", KA, KB, "text").mapInArrow(run, f"id {type_of(docs, 'id')}, {KA} long, {KB} long, s1 long, s2 long, size int, sig binary, paths array<long>")
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SLOTS)
 
 
-def _first_paths(runs: int):
+def _next_paths(fan: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4000):
                 part = batch.slice(lo, 4000)
-                sig = _sig_matrix(part.column("sig"))
-                rows, paths = [], []
-                for r in range(runs):
-                    row, child = chosen(np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0]), sig)
-                    rows.append(row)
-                    paths.append(child)
-                p = part.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), p.column("s1"), p.column("s2")], ["path", "s1", "s2"])
+                row, child = chosen(part.column("path").to_numpy().view(np.uint64), _sig_matrix(part.column("sig")), fan)
+                p = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), p.column("sid"), p.column("above")], ["path", "sid", "above"])
 
     return run
 
 
-def _next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4000):
-            part = batch.slice(lo, 4000)
-            row, child = chosen(part.column("path").to_numpy().view(np.uint64), _sig_matrix(part.column("sig")))
-            p = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), p.column("s1"), p.column("s2"), p.column("above")], ["path", "s1", "s2", "above"])
-
-
-def _block_pairs(sig: np.ndarray, side: np.ndarray, lo: int, hi: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a left and a right block (sides 1 and 2), or of a block with itself (side 3)."""
-    left = np.arange(lo, hi)[side[lo:hi] != 2]
-    right = np.arange(lo, hi)[side[lo:hi] == 2]
-    for k, x in enumerate(left):
-        others = left[k + 1 :] if side[x] == 3 else right
-        hit = others[(sig[others] == sig[x]).sum(axis=1) >= least] if len(others) else others
-        yield np.full(len(hit), x), hit
-
-
-def _candidates(least: int):
+def _candidates(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_groups(batches, "path", 8000):
-            path = batch.column("path").to_numpy()
-            side = batch.column("side").to_numpy()
-            s1, s2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
-            sig = _sig_matrix(batch.column("sig"))
+            path, side, sid = (batch.column(c).to_numpy() for c in ("path", "side", "sid"))
+            bucket = _Bucket(_sig_matrix(batch.column("sig")), batch.column("size").to_numpy(), threshold)
             at = bounds(path)
             small, left, right = [], [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
                 if side[lo]:
-                    for a, b in _block_pairs(sig, side, lo, hi, least):
-                        left.append(a)
-                        right.append(b)
+                    found = bucket.block_pairs(side, lo, hi)
                 elif hi - lo <= SMALL:
                     small.append(np.arange(lo, hi))
+                    continue
                 else:
-                    for a, b in bucket_pairs(sig, np.arange(lo, hi), int(path[lo].view(np.uint64)), least):
-                        left.append(a)
-                        right.append(b)
+                    found = bucket.pairs(np.arange(lo, hi), int(path[lo : lo + 1].view(np.uint64)[0]))
+                for a, b in found:
+                    left.append(a)
+                    right.append(b)
             a, b = _all_pairs(small)
-            keep = _similar(sig, a, b, least)
+            keep = bucket.similar(a, b)
             a, b = np.concatenate([a[keep], *left]).astype(np.int64), np.concatenate([b[keep], *right]).astype(np.int64)
-            swap = (s1[a] > s1[b]) | ((s1[a] == s1[b]) & (s2[a] > s2[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (path[a], s1[a], s2[a], s1[b], s2[b])], ["path", "a1", "a2", "b1", "b2"])
+            for lo in range(0, len(a), 200_000):
+                x, y = a[lo : lo + 200_000], b[lo : lo + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(path[x]), pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], ["path", "a", "b"])
 
     return run
 
 
-def _grams(n: int):
-    """(path, kind 0, set key, grams) for the sets to be verified."""
+class _Forest(dict):
+    """Union-find over the sets of a bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                g = [shingles(t, n, hashes) for t in part.column("text").to_pylist()]
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("s1"), part.column("s2"), lists(flat.view(np.int64), np.array([len(x) for x in g]), pa.int64())], ["s1", "s2", "grams"])
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
 
-    return run
 
+def _verify(n: int, threshold: float, linked: bool):
+    """Exact similarities of a bucket's pairs: (a, b, jaccard), or for each set (a, null, links), and pairs (a, b, 0) that connect what is linked."""
 
-def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple[int, int], np.ndarray] = {}
+        hashes = _Hashes()
+        sets: dict[int, tuple[np.ndarray, int]] = {}
+        links: dict[int, int] = {}
+        forest = _Forest()
         now = None
+        out: list[tuple[int, int | None, float]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            a, b, x = zip(*out, strict=True) if out else ([], [], [])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], ["a", "b", "value"])
+
         for batch in batches:
-            path, kind = batch.column("path").to_numpy(), batch.column("kind").to_numpy()
-            a1, a2, b1, b2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a1", "a2", "b1", "b2"))
-            grams = batch.column("grams")
-            out: list[tuple[int, int, int, int, float]] = []
+            bucket, kind, a, b, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "kind", "a", "b", "rows"))
+            text = batch.column("text")
             for i in range(batch.num_rows):
-                if path[i] != now:
-                    now, sets = path[i], {}
+                if bucket[i] != now:
+                    out.extend((x, None, float(m)) for x, m in links.items())
+                    now, sets, links, forest = bucket[i], {}, {}, _Forest()
+                x = int(a[i])
                 if kind[i] == 0:
-                    sets[int(a1[i]), int(a2[i])] = grams[i].values.to_numpy()
+                    sets[x] = shingles(text[i].as_py(), n, hashes), int(rows[i])
+                    if len(hashes) > 500_000:
+                        hashes.clear()
                     continue
-                x, y = sets[int(a1[i]), int(a2[i])], sets[int(b1[i]), int(b2[i])]
-                both = np.concatenate([x, y])
+                y = int(b[i])
+                (gx, nx), (gy, ny) = sets[x], sets[y]
+                both = np.concatenate([gx, gy])
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                j = common / (len(x) + len(y) - common)
-                if j >= threshold:
-                    out.append((int(a1[i]), int(a2[i]), int(b1[i]), int(b2[i]), j))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.float64())], ["a1", "a2", "b1", "b2", "jaccard"])
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                j = common / (len(gx) + len(gy) - common)
+                if j < threshold:
+                    continue
+                if not linked:
+                    out.append((x, y, j))
+                    continue
+                links[x] = links.get(x, 0) + ny
+                links[y] = links.get(y, 0) + nx
+                p, q = forest.root(x), forest.root(y)
+                if p != q:
+                    forest[max(p, q)] = min(p, q)
+                    out.append((x, y, 0.0))
+            if len(out) > 50_000:
+                yield batch_of()
+        out.extend((x, None, float(m)) for x, m in links.items())
+        yield batch_of()
 
     return run
 
 
 def _blocks_of(dense: DataFrame) -> DataFrame:
-    """(path, s1, s2, side): each set of a bucket goes to all pairs of blocks that its own block is in."""
+    """(path, sid, side): each set of a bucket goes to all pairs of blocks that its own block is in."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = dense.withColumn("m", F.pmod(F.xxhash64("path", "s1", "s2"), blocks).cast("int"))
+    own = dense.withColumn("m", F.pmod(F.xxhash64("path", "sid"), blocks).cast("int"))
     other = own.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lo, hi = F.least("m", "o"), F.greatest("m", "o")
     side = F.when(F.col("m") == F.col("o"), 3).when(F.col("m") < F.col("o"), 1).otherwise(2)
-    return other.select(F.xxhash64("path", lo, hi, F.lit(5)).alias("path"), "s1", "s2", side.alias("side"))
-
-
-def similar_sets(keyed: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the set of each row, and the pairs of different sets with at least this similarity."""
-    runs = runs_for(threshold, recall)
-    least = math.floor(SLOTS * threshold - DEVIATIONS * math.sqrt(SLOTS * threshold * (1 - threshold)))
-    least = max(1, least)
-    sk = cut(sketches(keyed, n))
-    members = sk.select("id", KA, KB, "s1", "s2")
-    sets = sk.dropDuplicates(["s1", "s2"]).select("s1", "s2", KA, KB, "sig")
-    sets = cut(sets)
-    sigs = sets.select("s1", "s2", "sig")
-    found = []
-    rows = sigs.mapInArrow(_first_paths(runs), "path long, s1 long, s2 long").withColumn("above", F.lit(None).cast("long"))
-    size = F.col("n")
-    while True:
-        # Sizes come by an aggregation with partial counts, so that no task has to hold a large bucket.
-        rows = cut(rows)
-        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        rows = rows.join(small_side(sizes), "path")
-        fits = rows.where(size <= IN_TASK).select("path", "s1", "s2", F.lit(0).alias("side"))
-        found.append(fits)
-        if sizes.where(size > IN_TASK).isEmpty():
-            break
-        large = rows.where(size > IN_TASK)
-        dense = F.coalesce(size > F.col("above") * DENSE, F.lit(False))
-        found.append(_blocks_of(large.where(dense)))
-        further = large.where(~dense).select("path", "s1", "s2", size.alias("above")).join(sigs, ["s1", "s2"])
-        rows = further.select("path", "above", "s1", "s2", "sig").mapInArrow(_next_paths, "path long, s1 long, s2 long, above long").dropDuplicates(["path", "s1", "s2"])
-    buckets = found[0]
-    for more in found[1:]:
-        buckets = buckets.unionByName(more)
-    pairs = (
-        buckets.join(sigs, ["s1", "s2"]).select("path", "s1", "s2", "side", "sig")
-        .repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(least), "path long, a1 long, a2 long, b1 long, b2 long")
-        .groupBy("a1", "a2", "b1", "b2").agg(F.min("path").alias("path"))
-    )
-    pairs = cut(pairs)
-    # Sets meet for verification at a path of theirs, so that a group's sets travel once and not once a pair.
-    wanted = pairs.select("path", F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("path", "b1", "b2")).distinct()
-    nodes = wanted.select("s1", "s2").distinct().join(sets.select("s1", "s2", KA, KB), ["s1", "s2"])
-    # Repeated rows have equal keys and equal sets; one of them is enough.
-    texts = keyed.select(KA, KB, "text").join(nodes, [KA, KB]).select("s1", "s2", "text")
-    grams = texts.mapInArrow(_grams(n), "s1 long, s2 long, grams array<long>").join(wanted, ["s1", "s2"])
-    none = F.lit(0).cast("long")
-    feed = grams.select("path", F.lit(0).alias("kind"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), none.alias("b1"), none.alias("b2"), "grams").unionByName(
-        pairs.select("path", F.lit(1).alias("kind"), "a1", "a2", "b1", "b2", F.lit(None).cast("array<long>").alias("grams"))
-    )
-    exact = feed.repartition("path").sortWithinPartitions("path", "kind").mapInArrow(_verify(threshold), "a1 long, a2 long, b1 long, b2 long, jaccard double")
-    return members, exact
+    return other.select(F.xxhash64("path", lo, hi, F.lit(5)).alias("path"), "sid", side.alias("side"))
+
+
+class Similar:
+    """The sets of a table's rows and their candidate pairs."""
+
+    def __init__(self, keyed: DataFrame, n: int, threshold: float, recall: float):
+        self.keyed, self.n, self.threshold = keyed, n, threshold
+        #: (id, key, s1, s2) of every row.
+        self.sketched = cut(sketches(keyed, n, threshold, runs_for(threshold, recall)))
+        self.members = self.sketched.select("id", KA, KB, "s1", "s2")
+        # The row of the lowest id (nulls last, then by key) stands for a set.
+        own = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col(KA).alias("ka"), F.col(KB).alias("kb"))).alias("own")
+        sets = self.sketched.where("s1 is not null").groupBy("s1", "s2").agg(own, F.count("*").alias("rows"), F.first(F.struct("size", "sig", "paths")).alias("x"))
+        #: (sid, s1, s2, own, rows, size, sig, paths) of every distinct set; numbers are given once, by the table written.
+        self.sets = cut(sets.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "own", "rows", "x.*"))
+
+    def candidates(self) -> DataFrame:
+        """(a, b, path): pairs of sets, a < b, that pass the sketch, and a bucket that both are in."""
+        sigs = self.sets.select("sid", "size", "sig")
+        rows = self.sets.select("sid", F.explode("paths").alias("path"), F.lit(None).cast("long").alias("above"))
+        found, spent = [], []
+        size = F.col("n")
+        while True:
+            # Sizes come by an aggregation with partial counts, so that no task has to hold a large bucket.
+            sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+            spent.append(sizes)
+            rows = rows.join(small_side(sizes), "path")
+            found.append(rows.where(size <= IN_TASK).select("path", "sid", F.lit(0).alias("side")))
+            if sizes.where(size > IN_TASK).isEmpty():
+                break
+            large = rows.where(size > IN_TASK)
+            dense = F.coalesce(size > F.col("above") * DENSE, F.lit(False))
+            found.append(_blocks_of(large.where(dense)))
+            further = large.where(~dense).select("path", "sid", size.alias("above")).join(sigs, "sid")
+            rows = cut(further.select("path", "above", "sid", "sig").mapInArrow(_next_paths(fanout(self.threshold)), "path long, sid long, above long").dropDuplicates(["path", "sid"]))
+            spent.append(rows)
+        buckets = found[0]
+        for more in found[1:]:
+            buckets = buckets.unionByName(more)
+        pairs = buckets.join(sigs, "sid").select("path", "sid", "side", "size", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(self.threshold), "path long, a long, b long")
+        out = cut(pairs.groupBy("a", "b").agg(F.min("path").alias("path")))
+        release(*spent)
+        return out
+
+    def verified(self, linked: bool) -> DataFrame:
+        """(a, b, value) as ``_verify`` gives them."""
+        pairs = self.candidates()
+        # Sets meet for verification in a bucket of theirs, so that a group's texts travel once and not once a pair.
+        wanted = lambda df, by: df.select(by, F.col("a").alias("sid")).union(df.select(by, "b")).distinct()
+        facts = self.sets.select("sid", "size", "rows", F.col("own.ka").alias(KA), F.col("own.kb").alias(KB))
+        heavy = cut(wanted(pairs, "path").join(facts.select("sid", "size"), "sid").groupBy("path").agg(F.sum("size").alias("grams")).where(F.col("grams") > HELD_GRAMS))
+        if heavy.isEmpty():
+            placed = pairs.withColumn("bucket", F.col("path"))
+        else:
+            blocks = F.ceil(F.col("grams") / HELD_GRAMS).cast("int")
+            block = lambda c: F.pmod(F.xxhash64(c), blocks)
+            apart = F.xxhash64("path", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+            placed = cut(pairs.join(small_side(heavy), "path", "left").select("a", "b", F.coalesce(apart, F.col("path")).alias("bucket")))
+        visits = cut(wanted(placed, "bucket").join(facts, "sid"))
+        nodes = small_side(cut(visits.select(KA, KB).distinct()))
+        # Repeated rows have equal keys and texts; one of them is enough.
+        texts = self.keyed.select(KA, KB, "text").join(nodes, [KA, KB], "left_semi").dropDuplicates([KA, KB])
+        none = F.lit(None)
+        feed = texts.join(visits, [KA, KB]).select("bucket", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "rows", "text").unionByName(
+            placed.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("rows"), none.cast("string").alias("text"))
+        )
+        return feed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_verify(self.n, self.threshold, linked), "a long, b long, value double")
+
+    def classes(self) -> DataFrame:
+        """(s1, s2, best, links): of each set its class's best row (z, id, ka, kb), and the rows that are similar to a row of it."""
+        found = cut(self.verified(True))
+        edges = found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("value").cast("long").alias("others"))
+        joined = self.sets.select("sid", "s1", "s2", "own", "rows").join(links, "sid", "left").join(components(edges).withColumnRenamed("node", "sid"), "sid", "left")
+        joined = joined.withColumn("root", F.coalesce("root", "sid"))
+        best = joined.groupBy("root").agg(F.min("own").alias("best"))
+        return joined.join(best, "root").select("s1", "s2", "best", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents, doc_a < doc_b, whose word n-gram sets are that similar.
-
-    Texts with equal sets are joined with each other exactly, whatever their number; other pairs are found with the
-    target recall. Words are runs of letters and digits in lower case. A text of fewer than n words has one gram; a
-    null, empty or wordless text has none and joins nothing. Rows of null id join nothing, as they can't be named.
-    Rows that repeat an id never pair with it, and a pair is returned once. An empty table gives no pairs. Other
+    """(doc_id, class_id, n_links) for every row: the lowest id of its class, and the number of rows as similar as that.
+
+    Rows are linked if their sets of word n-grams are at least that similar, and classes are what links connect. Rows
+    with equal sets are linked exactly, whatever their number; other links are found with the target recall, and each
+    is verified, so links between different texts are all counted though copies aren't expanded into pairs. Words are
+    runs of letters and digits in lower case. A text of fewer than n words has one gram; a null, empty or wordless text
+    has none, so its row is a class of its own with no links. Repeated rows are rows of their own. A row of null id has
+    one too, with the class of those it is like; a class of null ids only has a null id. Texts of any length are whole;
+    ties can't be, as nothing is chosen. An empty table gives no rows. Ids may be of any type that has an order. Other
     columns aren't read.
     """
-    keyed = select_in(docs, id_col, text_col)
-    members, pairs = similar_sets(keyed, n, threshold, recall)
-    named = members.where("id is not null").select("id", "s1", "s2").distinct()
-    a, b = named.toDF("doc_a", "a1", "a2"), named.toDF("doc_b", "b1", "b2")
-    equal = named.toDF("doc_a", "s1", "s2").join(named.toDF("doc_b", "s1", "s2"), ["s1", "s2"]).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    other = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("doc_a <> doc_b")
-    other = other.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return equal.unionByName(other).groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    found = Similar(select_in(docs, id_col, text_col), n, threshold, recall)
+    classes = found.classes().toDF("c1", "c2", "best", "links")
+    out = found.members.join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    own = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    return out.select(F.col("id").alias("doc_id"), own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_id) of every row, and (set_a, set_b, jaccard) of the different sets that are that similar.
+
+    Rows of one set_id have equal sets, and so a similarity of 1. A row without words has a null set_id. For the rest
+    what is said of ``ngram_jaccard_join`` holds.
+    """
+    found = Similar(select_in(docs, id_col, text_col), n, threshold, recall)
+    named = found.sets.select("sid", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
+    members = found.members.join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left").select(F.col("id").alias("doc_id"), F.col("sid").alias("set_id"))
+    return members, found.verified(False).select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.col("value").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (u, v); nodes may be of any orderable type. Alternates large and small stars."""
+    state = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s"))
     # (u, v) with u > v
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    seen = now.agg(state).first()
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -385,30 +493,32 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(root.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         after = cut(small)
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        state_after = after.agg(state).first()
+        release(now)
+        # The edges are a set; the same count, xor and sum of their hashes are taken for the same set.
+        if state_after == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = after
+        now, seen = after, state_after
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of similar texts.
+    """The rows of ``docs`` without all but one of each class of ``ngram_jaccard_join``.
 
-    Groups are the connected components of the join. The row of the lowest id stays (nulls last, then by key). Rows
-    repeated whole are a group too and one stays; which of them can't be told. Rows without words stay as they are.
-    Columns and their names are left alone.
+    The row of the lowest id stays (nulls last, then by a hash of id and text). Rows repeated whole are copies too and
+    one stays; which of them can't be told. Rows without words stay as they are, also if they repeat. Texts may be of
+    any length. An empty table gives no rows. Columns and their names are left alone.
     """
-    keyed = select_in(docs, id_col, text_col)
-    members, pairs = similar_sets(keyed, n, threshold, recall)
-    node = lambda p, q: F.struct(F.col(p).alias("p"), F.col(q).alias("q"))
-    roots = components(pairs.select(node("a1", "a2").alias("u"), node("b1", "b2").alias("v")))
-    owned = members.withColumn("node", node("s1", "s2")).join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
-    by = Window.partitionBy("g").orderBy(F.col("id").isNull(), "id", KA, KB)
-    ranked = owned.withColumn("first", F.row_number().over(by))
+    found = Similar(select_in(docs, id_col, text_col), n, threshold, recall)
+    classes = found.classes().select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("best.ka").alias("ba"), F.col("best.kb").alias("bb"))
+    keys = found.members.where("s1 is not null").groupBy(KA, KB, "s1", "s2").agg(F.count("*").alias("rows"))
+    ranked = keys.join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
+    best = (F.col(KA) == F.col("ba")) & (F.col(KB) == F.col("bb"))
     # Of a key that is repeated, all rows but one have to go, or all.
-    out = ranked.groupBy(KA, KB).agg(F.min("first").alias("first"), F.count("*").alias("rows")).where("first > 1 or rows > 1")
-    fate = small_side(cut(out.select(F.col(KA).alias("_sq_fa"), F.col(KB).alias("_sq_fb"), (F.col("first") == 1).alias("_sq_one"))))
+    fate = cut(ranked.where(~best | (F.col("rows") > 1)).select(F.col(KA).alias("_sq_fa"), F.col(KB).alias("_sq_fb"), best.alias("_sq_one")))
     own = with_key(docs, id_col, text_col)
-    flagged = own.join(fate, (own[KA] == fate["_sq_fa"]) & (own[KB] == fate["_sq_fb"]), "left")
-    plain = flagged.where("_sq_fa is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    one = flagged.where("_sq_one").dropDuplicates([KA, KB]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return plain.unionByName(one)
+    at = lambda df: (own[KA] == df["_sq_fa"]) & (own[KB] == df["_sq_fb"])
+    gone = small_side(fate)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    plain = own.join(gone, at(gone), "left_anti").select(*names)
+    one = small_side(fate.where("_sq_one"))
+    return plain if one.isEmpty() else plain.unionByName(own.join(one, at(one), "left_semi").dropDuplicates([KA, KB]).select(*names))

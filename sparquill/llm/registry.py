@@ -130,11 +130,14 @@ FROM d LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id) WHERE len(ws) > 0
 """
 
 _JOIN = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
- g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w WHERE len(w) > 0),
- z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
- p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c)::double, 6) AS jaccard FROM p JOIN z x ON x.doc_id = doc_a JOIN z y ON y.doc_id = doc_b WHERE c >= 0.5 * (x.n + y.n - c)
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ w AS (SELECT r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+ g AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w WHERE len(w) > 0),
+ z AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+ e AS MATERIALIZED (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM p JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE c >= 0.5 * (x.n + y.n - c)),
+ t AS (SELECT r, r AS other FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.other)
+SELECT d.doc_id, min(o.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links FROM d JOIN t ON t.r = d.r JOIN d o ON o.r = t.other GROUP BY d.r, d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _CHAT, "op2_url_filters": _URLS, "op4_line_dedup": _LINES, "op9_quality_rules": _QUALITY, "op10_ngram_jaccard_join": _JOIN}
