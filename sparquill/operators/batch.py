@@ -11,6 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..plans.query import AND, AND_NOT, OR, operator_of
 from .build import IndexOptions, Tables
+from .search import total
 
 
 def query_specs(queries: DataFrame, options: IndexOptions, o: dict[str, Any]) -> DataFrame:
@@ -43,14 +44,38 @@ def matched_terms(specs: DataFrame, terms: DataFrame, o: dict[str, Any]) -> Data
         f = 0.2 if f is True else float(f)
         k = F.least(F.lit(o["max_fuzzy"]), F.floor(n * F.lit(f) + F.lit(0.5))).cast("int") if f < 1 else F.lit(int(f))
         reach = q.withColumn("k", k).where("k > 0")
-        reach = reach.withColumn("l", F.explode(F.sequence(F.greatest(F.lit(0), F.length("q") - F.col("k")), F.length("q") + F.col("k"))))
-        near = reach.join(vocabulary.withColumn("l", F.length("term")), "l").withColumn("d", F.levenshtein("term", "q")).where("d between 1 and k")
+        near = within_distance(reach, vocabulary, int(o["max_fuzzy"]) if f < 1 else int(f))
         if o["prefix"] is True:
             near = near.where(~F.col("term").startswith(F.col("q")))
         out = out.unionByName(near.select("q", "term", (F.lit(float(weights["fuzzy"])) * length / (length + F.col("d").cast("double"))).alias("w")))
     return out
 
 
+def within_distance(reach: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
+    """(q, term, d): the terms at an edit distance d from 1 to k of each (q, k), k at most ``most``.
+
+    Of k + 1 pieces of q one stays whole under k edits, and moves by k places at most, so q and term meet by a piece,
+    its place and the term's length. A q of no more than k letters has no such pieces; it meets terms by length alone.
+    """
+    n = F.length("q")
+    size = F.floor(n / (F.col("k") + 1)).cast("int")
+    lengths = F.explode(F.sequence(F.greatest(F.lit(0), n - F.col("k")), n + F.col("k")))
+    brief = reach.where(n <= F.col("k")).withColumn("l", lengths).join(vocabulary.withColumn("l", F.length("term")), "l").select("q", "k", "term")
+    cut_up = reach.where(n > F.col("k")).withColumn("size", size)
+    pieces = cut_up.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("from", F.col("i") * F.col("size"))
+    pieces = pieces.withColumn("piece", F.expr("substring(q, from + 1, size)")).withColumn("l", lengths)
+    pieces = pieces.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - F.col("k")), F.col("from") + F.col("k"))))
+    # Terms are cut into pieces of those sizes only that the queries have.
+    sizes = sorted(r["size"] for r in cut_up.select("size").distinct().collect()) or [1]
+    parts = vocabulary.withColumn("l", F.length("term")).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("l >= size")
+    parts = parts.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("l") - F.col("size")))).withColumn("piece", F.expr("substring(term, at + 1, size)"))
+    met = pieces.join(parts.select("term", "l", "at", "piece", "size"), ["piece", "size", "l", "at"]).select("q", "k", "term").unionByName(brief).distinct()
+    far = F.lit(None).cast("int")
+    for k in range(most, 0, -1):
+        far = F.when(F.col("k") == k, F.levenshtein("term", "q", k)).otherwise(far)
+    return met.withColumn("d", far).where("d between 1 and k")
+
+
 def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: dict[str, Any], limit: int | None) -> DataFrame:
     """(query_id, id, score, rank). Every query is answered; ``limit`` keeps the best of each."""
     op = operator_of(o.get("combine_with") or OR)
@@ -65,9 +90,11 @@ def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: di
     p = tables.postings.where(F.col("field_id").isin([i for i, _ in pairs]))
     score = S.bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(tables.count)), F.col("len").cast("double"), average, o.get("bm25") or S.BM25())
     # Each posting is scored once for a query term, however many queries have it.
-    per_term = p.join(matched, "term").groupBy("q", "doc_ord").agg(F.sum(F.col("w") * choose(pairs) * score).alias("w"))
+    hit = F.struct("term", "field_id", (F.col("w") * choose(pairs) * score).alias("w"))
+    per_term = p.join(matched, "term").groupBy("q", "doc_ord").agg(F.sort_array(F.collect_list(hit)).alias("hits")).select("q", "doc_ord", total("hits", "w").alias("w"))
     rows = specs.join(per_term, "q")
-    by = rows.groupBy("query_id", "doc_ord").agg(F.sum("w").alias("score"), F.sum(F.when(F.col("spec") == 0, F.col("w"))).alias("first"), F.count_distinct("q").alias("words"), F.count("*").alias("met"), F.first("n").alias("n"))
+    # Sums are taken in one order, so that documents alike have scores alike, whatever the partitioning.
+    by = rows.groupBy("query_id", "doc_ord").agg(F.sort_array(F.collect_list(F.struct("spec", "w"))).alias("hits"), F.sum(F.when(F.col("spec") == 0, F.col("w"))).alias("first"), F.count_distinct("q").alias("words"), F.count("*").alias("met"), F.first("n").alias("n")).withColumn("score", total("hits", "w"))
     if op == AND:
         by = by.where("met = n")
     elif op == AND_NOT:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..plans.query import SEARCH_DEFAULTS, SUGGEST_DEFAULTS, check_options
+from ..sources.store import cut
 
 RESERVED = {"id", "score", "terms", "query_terms", "match"}
 DEFAULTS: dict[str, Any] = {"id_field": "id", "store_fields": (), "tokenize": T.tokenize, "process_term": T.process_term, "stringify_field": T.stringify, "extract_field": lambda name: F.col(name)}
@@ -76,45 +77,48 @@ class Tables:
     count: int
 
 
-def with_ordinal(df: DataFrame, by: str, out: str) -> DataFrame:
-    """Number rows 0..n-1 in the order of a column, partition by partition; no partition holds all rows."""
-    sorted_df = df.repartitionByRange(by).sortWithinPartitions(by)
-    numbered = sorted_df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist()
+def with_ordinal(df: DataFrame, order: Column, ident: Column, out: str) -> DataFrame:
+    """Number rows 0..n-1 in the order of (order, ident), ident being distinct; no partition holds all rows.
+
+    Only the keys are sorted and numbered, partition by partition, in a table of their own that the rows are joined with.
+    """
+    keys = df.select(ident.alias("_k"), order.alias("_o")).repartitionByRange("_o", "_k").sortWithinPartitions("_o", "_k")
+    numbered = cut(keys.select("_k", F.spark_partition_id().alias("_p"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_i")))
     sizes = {r["_p"]: r["n"] for r in numbered.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
+    for p in range(max(sizes, default=0) + 1):
         starts.append(total)
         total += sizes.get(p, 0)
-    if not starts:
-        return numbered.withColumn(out, F.lit(0).cast("long")).drop("_p", "_i")
     offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_p") + 1)
-    return numbered.withColumn(out, offset + F.col("_i")).drop("_p", "_i")
+    return df.withColumn("_k", ident).join(numbered.select("_k", (offset + F.col("_i")).alias(out)), "_k").drop("_k")
+
+
+#: Documents whose lengths are folded in one task.
+FOLD = 1_000_000
 
 
 def average_lengths(lengths: DataFrame, fields: int, count: int) -> tuple[float, ...]:
     """The running average of each field's length, as single-precision numbers.
 
     A document without the field leaves the average as it is but counts on. Where none lacks it that is the mean.
-    Otherwise the fold is a chain of maps x -> a x + b; each partition's chain is composed by itself, in order.
+    Otherwise the n-th document's length has the weight 1 / n times (m - 1) / m for each later document m that has the
+    field. Runs of documents sum this up by themselves, and each sum is scaled by what the later runs have.
     """
     plain = {r["field_id"]: (r["n"], r["mean"]) for r in lengths.where("len is not null").groupBy("field_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).collect()}
     gaps = [f for f in range(fields) if 0 < plain.get(f, (0, 0))[0] < count]
     out = {f: m for f, (n, m) in plain.items() if n == count}
     if gaps:
-        docs = with_ordinal(lengths.select("doc_ord").distinct(), "doc_ord", "n")
-        chain = docs.join(lengths.where(F.col("field_id").isin(gaps)), "doc_ord").repartitionByRange("n").sortWithinPartitions("n")
-
-        def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state: dict[int, list[float]] = {}
-            for pdf in batches:
-                for n, f, length in zip(pdf["n"], pdf["field_id"], pdf["len"], strict=True):
-                    a, b, first = state.setdefault(int(f), [1.0, 0.0, int(n)])
-                    if not pd.isna(length):
-                        state[int(f)] = [a * n / (n + 1), (b * n + length) / (n + 1), first]
-            yield pd.DataFrame([(f, s[2], s[0], s[1]) for f, s in state.items()], columns=["field_id", "n", "a", "b"])
-
-        for r in sorted(chain.mapInPandas(compose, "field_id int, n long, a double, b double").collect(), key=lambda r: r["n"]):
-            out[r["field_id"]] = r["a"] * out.get(r["field_id"], 0.0) + r["b"]
+        docs = with_ordinal(lengths.select("doc_ord").distinct(), F.col("doc_ord"), F.col("doc_ord"), "n")
+        has = docs.join(lengths.where(F.col("field_id").isin(gaps) & F.col("len").isNotNull()), "doc_ord").select("field_id", "len", "n", F.floor(F.col("n") / FOLD).alias("run"))
+        # The first document has no average before it, so its factor doesn't matter.
+        shrink = F.when(F.col("n") > 0, F.log(F.col("n") / (F.col("n") + 1))).otherwise(0.0)
+        later = F.coalesce(F.sum("s").over(Window.partitionBy("run", "field_id").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        runs = has.withColumn("s", shrink).withColumn("part", F.col("len") / (F.col("n") + 1) * F.exp(later)).groupBy("field_id", "run").agg(F.sum("part").alias("part"), F.sum("s").alias("s"))
+        after: dict[int, float] = {}
+        for r in sorted(runs.collect(), key=lambda r: -r["run"]):
+            f = r["field_id"]
+            out[f] = out.get(f, 0.0) + r["part"] * math.exp(after.get(f, 0.0))
+            after[f] = after.get(f, 0.0) + r["s"]
     return tuple(float(np.float32(out.get(f, 0.0))) for f in range(fields))
 
 
@@ -123,24 +127,25 @@ def duplicate_ids(docs: DataFrame, id_field: str) -> DataFrame:
 
 
 def tokenized(documents: DataFrame, o: IndexOptions) -> DataFrame:
-    """(doc_ord, ext_id, stored, tok_0, tok_1, ...): an array of raw tokens for each field, null where it is null."""
-    extra = []
+    """(doc_ord, ext_id, stored, len_0, terms_0, ...): of each field the number of distinct tokens and the array of terms, null where it is null."""
+    raw = []
     for i, name in enumerate(o.fields):
         value = o.extract_field(name)
         kind = documents.select(value.alias("v")).schema["v"].dataType
         text = value if isinstance(kind, K.StringType) else (o.stringify_field(value, name) if o.stringify_field else T.stringify(value, kind.simpleString()))
-        extra.append(F.when(value.isNotNull(), o.tokenize(F.coalesce(text, F.lit("")), name)).alias(f"tok_{i}"))
+        raw.append(F.when(value.isNotNull(), o.tokenize(F.coalesce(text, F.lit("")), name)).alias(f"tok_{i}"))
     stored = [F.struct(*[o.extract_field(s).alias(s) for s in o.store_fields]).alias("stored")] if o.store_fields else []
-    return documents.select("doc_ord", o.extract_field(o.id_field).alias("ext_id"), *stored, *extra)
+    split = documents.select("doc_ord", o.extract_field(o.id_field).alias("ext_id"), *stored, *raw)
+    done = []
+    for i in range(len(o.fields)):
+        tok = F.col(f"tok_{i}")
+        done += [F.when(tok.isNotNull(), T.field_length(tok)).alias(f"len_{i}"), F.when(tok.isNotNull(), T.processed_terms(tok, o.process_term, o.term_arrays)).alias(f"terms_{i}")]
+    return split.select("doc_ord", "ext_id", *(["stored"] if stored else []), *done)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over the cores where the input is too small for a scan to do so, as one file may be; larger inputs aren't moved."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if size < cores * piece else df
+def with_df(counted: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings with the document frequencies of their terms."""
+    return counted.join(terms, ["term", "field_id"])
 
 
 def build(documents: DataFrame, o: IndexOptions) -> Tables:
@@ -158,13 +163,15 @@ def build(documents: DataFrame, o: IndexOptions) -> Tables:
     if isinstance(kind, (K.LongType, K.IntegerType, K.ShortType, K.ByteType)):
         numbered = documents.withColumn("doc_ord", F.col(order).cast("long"))
     else:
-        numbered = with_ordinal(documents.withColumn("_order", F.col(order) if kind is not None else ident), "_order", "doc_ord").drop("_order")
-    tokens = tokenized(spread(numbered), o)
-    docs = tokens.select("doc_ord", "ext_id", *(["stored"] if o.store_fields else []))
-    every = tokens.select("doc_ord", F.posexplode(F.array(*[F.struct(F.col(f"tok_{i}").alias("tok")) for i in range(len(o.fields))])).alias("field_id", "x"))
-    lengths = every.select("doc_ord", "field_id", F.when(F.col("x.tok").isNotNull(), T.field_length(F.col("x.tok"))).alias("len"))
-    said = every.where("x.tok is not null").select("doc_ord", "field_id", T.field_length(F.col("x.tok")).alias("len"), F.explode(T.processed_terms(F.col("x.tok"), o.process_term, o.term_arrays)).alias("term"))
+        numbered = with_ordinal(documents, F.col(f"`{order}`") if kind is not None else ident, ident, "doc_ord")
+    # Once the rows lie by document, counting a document's terms takes no other shuffle; texts are smaller than postings.
+    tokens = tokenized(numbered.repartition("doc_ord"), o)
+    fields = range(len(o.fields))
+    docs = numbered.select("doc_ord", ident.alias("ext_id"), *([F.struct(*[o.extract_field(s).alias(s) for s in o.store_fields]).alias("stored")] if o.store_fields else []))
+    lengths = tokens.select("doc_ord", F.posexplode(F.array(*[F.col(f"len_{i}") for i in fields])).alias("field_id", "len"))
+    # The arrays end at the explode; lengths are computed once a document, below it.
+    each = tokens.select("doc_ord", F.posexplode(F.array(*[F.struct(F.col(f"len_{i}").alias("len"), F.col(f"terms_{i}").alias("terms")) for i in fields])).alias("field_id", "x"))
+    said = each.select("doc_ord", "field_id", F.col("x.len").alias("len"), F.col("x.terms").alias("terms")).select("doc_ord", "field_id", "len", F.explode("terms").alias("term"))
     counted = said.groupBy("term", "field_id", "doc_ord").agg(T.clamp_frequency(F.count("*")).alias("tf"), F.first("len").alias("len"))
     terms = counted.groupBy("term", "field_id").agg(F.count("*").alias("df"))
-    postings = counted.join(terms, ["term", "field_id"])
-    return Tables(docs, postings, terms, lengths, average_lengths(lengths, len(o.fields), count), count)
+    return Tables(docs, with_df(counted, terms), terms, lengths, average_lengths(lengths, len(o.fields), count), count)

@@ -20,6 +20,9 @@ from .build import IndexOptions, Tables
 
 _ORD = "array<struct<a:int,b:int,c:int,d:string,e:int>>"
 _FOUND = "array<struct<term:string,fields:array<string>>>"
+#: Where all terms have to match, the documents of the rarest go first if all postings are so many times its own; up to so
+#: many of its documents' numbers are broadcast.
+GATE_RATIO, GATE_ROWS = 4, 1_000_000
 
 
 def _mark(a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
@@ -82,8 +85,48 @@ class Compiler:
     def _stored(self) -> Column:
         return F.col("stored") if "stored" in self.tables.docs.columns else F.lit(None)
 
-    def contributions(self, specs: list[Spec], o: dict[str, Any], ids_only: bool = False) -> DataFrame:
-        """(doc_ord, spec, kind, rank, term, field_pos, w) of each posting that a spec scores."""
+    def query_terms(self, query: str, o: dict[str, Any]) -> list[str]:
+        """A query's terms. As long as the search doesn't say otherwise, it is taken apart as the index's texts were."""
+        split, process, index = o.get("tokenize"), o.get("process_term"), self.index
+        if split is None and index.tokenize is T.tokenize:
+            split = T.tokenize_text
+        if process is None and index.process_term is T.process_term and not index.term_arrays:
+            process = T.process_token
+        tokens = split(query) if split else None
+        if process is None:
+            # The index's functions make Columns; they are evaluated on one row.
+            raw = index.tokenize(F.lit(query), "") if tokens is None else F.lit(list(tokens)).cast("array<string>")
+            one = self.tables.docs.sparkSession.range(1)
+            terms = one.select(T.processed_terms(raw, index.process_term, index.term_arrays).alias("t")).first()["t"]
+        else:
+            if tokens is None:
+                tokens = self.tables.docs.sparkSession.range(1).select(index.tokenize(F.lit(query), "").alias("t")).first()["t"]
+            terms = []
+            for token in tokens:
+                term = process(token)
+                terms += term if isinstance(term, (list, tuple)) else [term]
+        return [t for t in terms if t]
+
+    def gate(self, specs: list[Spec], o: dict[str, Any]) -> tuple[bool, DataFrame | None]:
+        """For terms that all have to match: whether any document can have them, and the documents of the rarest if that spares much.
+
+        The postings of each term are counted in the dictionary first, which is small beside the postings.
+        """
+        weights = {"fuzzy": 0.45, "prefix": 0.375}
+        ids = [self.index.fields.index(f) for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
+        some, hits = expansions(specs, weights)
+        grown = self.tables.terms.where(F.col("field_id").isin(ids)).where(some).select("df", F.explode(hits).alias("h"))
+        sizes = {r["s"]: r["n"] for r in grown.groupBy(F.col("h.spec").alias("s")).agg(F.sum("df").alias("n")).collect()}
+        if len(sizes) < len(specs):
+            return False, None
+        rare = min(specs, key=lambda s: (sizes[s.no], s.no))
+        if sum(sizes.values()) < GATE_RATIO * sizes[rare.no]:
+            return True, None
+        docs = self.contributions([rare], o, ids_only=True).select("doc_ord").distinct()
+        return True, F.broadcast(docs) if sizes[rare.no] <= GATE_ROWS else docs
+
+    def contributions(self, specs: list[Spec], o: dict[str, Any], ids_only: bool = False, only: DataFrame | None = None) -> DataFrame:
+        """(doc_ord, spec, kind, rank, term, field_pos, w) of each posting that a spec scores; of the documents ``only``, if given."""
         weights = {"fuzzy": 0.45, "prefix": 0.375, **(o.get("weights") or {})}
         names = [f for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
         boosts = {f: float((o.get("boost") or {}).get(f) or 1.0) for f in names}
@@ -92,6 +135,8 @@ class Compiler:
         some, hits = expansions(specs, weights)
         within = F.col("field_id").isin(ids) if ids else F.lit(False)
         p = self.tables.postings.where(within)
+        if only is not None:
+            p = p.where(some).join(only, "doc_ord", "left_semi")
         if any(s.distance for s in specs):
             # Edit distances are computed once a term, not once a posting. Later terms of a kind come first.
             grown = self.tables.terms.where(within).where(some).select("term", "field_id", F.explode(hits).alias("h"))
@@ -117,7 +162,7 @@ class Compiler:
 
     def _string(self, query: str, options: dict[str, Any], ids_only: bool) -> DataFrame:
         o = {**self.index.search, **options}
-        specs = specs_of(query, o)
+        specs = specs_of(self.query_terms(query, o), o)
         if not specs:
             return _empty(self.tables)
         op = operator_of(o.get("combine_with") or OR)
@@ -128,12 +173,19 @@ class Compiler:
             gone = self.contributions(specs[1:], o, ids_only=True).select("doc_ord").distinct()
             rows = self.contributions(specs[:1], o, ids_only).join(gone, "doc_ord", "left_anti")
             specs = specs[:1]
+        elif op == AND and len(specs) > 1:
+            may, only = self.gate(specs, o)
+            if not may:
+                return _empty(self.tables)
+            rows = self.contributions(specs, o, ids_only, only)
         else:
             rows = self.contributions(specs, o, ids_only)
         fields = F.array(*[F.lit(f) for f in names])
         mark = _mark(F.col("spec"), F.col("kind"), F.col("rank"), F.when(F.col("kind") == 2, F.lit("")).otherwise(F.col("term")), F.col("field_pos"))
-        hit = F.struct(mark.alias("m"), F.col("term").alias("term"))
-        grouped = rows.groupBy("doc_ord").agg(F.sum("w").alias("score"), F.collect_set("spec").alias("specs"), F.min(mark).alias("first"), F.sort_array(F.collect_list(hit)).alias("hits"))
+        hit = F.struct(mark.alias("m"), F.col("term").alias("term"), F.col("w").alias("w"))
+        grouped = rows.groupBy("doc_ord").agg(F.collect_set("spec").alias("specs"), F.min(mark).alias("first"), F.sort_array(F.collect_list(hit)).alias("hits"))
+        # Summed up in one order, whatever the partitioning, so that equal documents have equal scores to the last bit.
+        grouped = grouped.withColumn("score", total("hits", "w"))
         if op == AND:
             grouped = grouped.where(F.size("specs") == len(specs))
         terms = F.array(*[F.lit(s.term) for s in specs])
@@ -163,12 +215,17 @@ class Compiler:
         return combine(parts, op)
 
 
+def total(items: str, name: str) -> Column:
+    """Sum of a number over an array of structs, from its first to its last."""
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x[name])
+
+
 def combine(parts: list[DataFrame], op: str) -> DataFrame:
     """OR or AND of nodes that have a ``branch`` number."""
     rows = reduce(DataFrame.unionByName, parts)
-    one = F.struct("branch", "query_terms", "found")
+    one = F.struct("branch", "query_terms", "found", "score")
     path = F.concat(F.array(_mark(F.col("branch"), F.lit(0), F.lit(0), F.lit(""), F.lit(0))).cast(_ORD), "ord")
-    grouped = rows.groupBy("doc_ord").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("all"), F.min(path).alias("ord"))
+    grouped = rows.groupBy("doc_ord").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("all"), F.min(path).alias("ord")).withColumn("score", total("all", "score"))
     if op == AND:
         grouped = grouped.where(F.col("n") == len(parts))
     entries = F.flatten(F.transform("all", lambda x: x["found"]))

@@ -34,7 +34,7 @@ class Combination:
 Query = Any  # str | Combination | WILDCARD
 
 #: Search options where nothing else is said. ``fields``, ``filter``, ``boost_term``, ``boost_document``, ``tokenize`` and
-#: ``process_term`` may be given too; the last two are the query's own and take strings.
+#: ``process_term`` may be given too; the last two take strings, and stand for the index's own in the query.
 SEARCH_DEFAULTS: dict[str, Any] = {"combine_with": OR, "prefix": False, "fuzzy": False, "max_fuzzy": 6, "boost": {}, "weights": {"fuzzy": 0.45, "prefix": 0.375}, "bm25": None}
 SUGGEST_DEFAULTS: dict[str, Any] = {"combine_with": AND, "prefix": lambda term, i, terms: i == len(terms) - 1}
 KNOWN = {*SEARCH_DEFAULTS, "fields", "filter", "boost_term", "boost_document", "tokenize", "process_term"}
@@ -68,13 +68,9 @@ class Spec:
     boost: float
 
 
-def specs_of(query: str, options: dict[str, Any]) -> list[Spec]:
+def specs_of(terms: list[str], options: dict[str, Any]) -> list[Spec]:
     from ..functions.scoring import max_distance
 
-    terms: list[str] = []
-    for token in (options.get("tokenize") or T.tokenize_text)(query):
-        term = (options.get("process_term") or T.process_token)(token)
-        terms += [t for t in (term if isinstance(term, (list, tuple)) else [term]) if t]
     out = []
     for i, t in enumerate(terms):
         fuzzy, prefix, boost = options["fuzzy"], options["prefix"], options.get("boost_term")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
+import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.build import IndexOptions, Tables
-
 CODECS = {"raw": "none", "zlib": "gzip", "zstd": "zstd", "auto": "zstd"}
 
 
@@ -26,8 +27,49 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+_FOLDERS: set[str] = set()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder for this application's intermediate tables in the shared one; it is removed when the driver ends."""
+    where = f"{shared_folder(spark)}/sparquill-{spark.sparkContext.applicationId}"
+    if where not in _FOLDERS:
+        _FOLDERS.add(where)
+        atexit.register(remove, spark, where)
+    return where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables."""
+    jvm = spark._jvm
+    with contextlib.suppress(Exception):  # at the end the JVM may be gone already
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there, and losing executors loses nothing."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sq_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote; nothing that is still to be computed may read it."""
+    for t in tables:
+        remove(t.sparkSession, t._sq_path)
+
+
 def save(index: Any, path: str, compression: str = "auto") -> None:
-    """Write the tables; postings and terms lie sorted by term, so that a term's row groups are found by their bounds."""
+    """Write the tables; postings and terms lie sorted by term, so that a term's row groups are found by their bounds.
+
+    The texts are taken apart once: frequencies are written first, and everything else is made from them.
+    """
+    from ..operators.build import with_df
+
     if compression not in CODECS:
         raise ValueError(f"unknown compression: {compression}")
     t, o = index.tables, index.options
@@ -35,18 +77,20 @@ def save(index: Any, path: str, compression: str = "auto") -> None:
     put = lambda df, name: df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
     put(t.docs, "docs")
     put(t.lengths, "lengths")
-    put(t.postings.repartitionByRange("term", "field_id", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord"), "postings")
-    # The postings just written say which terms there are; the documents aren't taken apart again.
-    terms = t.docs.sparkSession.read.parquet(f"{path}/postings").groupBy("term", "field_id").agg(F.first("df").alias("df"))
+    counted = cut(t.postings.drop("df"))
+    terms = cut(counted.groupBy("term", "field_id").agg(F.count("*").alias("df")))
+    put(with_df(counted, terms).repartitionByRange("term", "field_id", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord"), "postings")
     put(terms.repartitionByRange("term").sortWithinPartitions("term", "field_id"), "terms")
+    release(counted, terms)
     meta = json.dumps({"fields": list(o.fields), "id_field": o.id_field, "store_fields": list(o.store_fields), "averages": list(t.averages), "count": t.count, "version": 1})
     spark = t.docs.sparkSession
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str, options: IndexOptions | None = None) -> Any:
+def load(spark: SparkSession, path: str, options: Any = None) -> Any:
     """Read an index. Functions aren't saved, so give ``options`` to have others than the defaults; its fields have to be the same."""
     from ..index import SearchIndex
+    from ..operators.build import IndexOptions, Tables
 
     meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/meta").collect()))
     if options is not None and set(options.fields) != set(meta["fields"]):

@@ -11,7 +11,7 @@ from sparquill.plans import registry
 
 DATA = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["tokenize_default", "doc_freqs", "avg_field_length_nulls", "search_or", "search_and_not", "search_prefix_fuzzy", "search_field_boost", "search_nested_and_not_cascade", "match_info", "stored_fields_lookup", "auto_suggest", "process_term_array", "camel_case_tokenize", "stream_ingest", "search_many"]
+FEW = ["tokenize_default", "doc_freqs", "avg_field_length_nulls", "search_or", "search_and_not", "search_prefix_fuzzy", "search_field_boost", "search_nested_and_not_cascade", "match_info", "stored_fields_lookup", "auto_suggest", "process_term_array", "camel_case_tokenize", "stream_ingest", "search_many", "search_many_topk", "search_many_fuzzy", "search_and_gated", "search_camel_case", "search_process_term_array_query"]
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,6 @@ def test_texts_of_turns_are_searched(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
-    got = {r["key"]: r["score"] for r in registry.QUERIES["search_conversation_texts"](spark, str(tmp_path)).collect()}
-    assert got == pytest.approx(dict(con.execute(registry.ORACLE_SQL["search_conversation_texts"]).fetchall()), abs=2e-6)
+    got = {r["key"]: r["score"] for r in registry.QUERIES["search_conversations"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(dict(con.execute(registry.ORACLE_SQL["search_conversations"]).fetchall()), abs=2e-6)
     assert got.keys() == {"1-0-1", "1-0-2", "1-0-3", "2-0-1", "null-0-1", "3-null-1"}
