@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def chunked(batches: Iterator[pa.RecordBatch], text_col: str, chars: int) -> Ite
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        start, lengths = 0, np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), float)).astype(np.int64)
+        start, lengths = 0, np.nan_to_num(np.asarray(pc.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), float)).astype(np.int64)
         run = np.cumsum(lengths)
         while start < batch.num_rows:
             before = run[start - 1] if start else 0

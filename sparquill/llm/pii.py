@@ -1,11 +1,11 @@
 """PII tagging by a linear-chain conditional random field over word shapes.
 
 The model is trained from a small labelled table on the driver, in numpy: features of a token come from its shape and
-those of its neighbours. All tokens without digits and without a few telling signs are of one shape, 'plain', which
-makes most of a text one and the same. Where so many plain tokens follow each other that the best path between any two
-labels passes through O, the best path of the whole text does so too, whatever stands around. That length is found
-from the trained weights. Texts are cut there, and only the pieces around other tokens are decoded by Viterbi, in
-batches; the labels are those of decoding the whole.
+those of its neighbours; ordinary words have a case, a length and an ending. Tokens of equal features are one type.
+Every token of every text is scored. Where all tokens around one speak so clearly for O that no path, whatever stands
+beyond, could do better with another label there, that token is O on the best path of the whole text. This is proved
+from the trained weights, not assumed; a model that allows no such proof has its texts decoded whole. What is left
+between such tokens is decoded by Viterbi, in batches, and the labels are those of decoding the whole.
 """
 
 from __future__ import annotations
@@ -19,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunked
 from .pii_labels import KINDS, labelled_rows
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 O = 0  # noqa: E741
 #: Tokens, with padding, that are decoded at a time; a longer piece is decoded alone.
 BATCH_TOKENS = 100_000
+#: Bytes of text that are scored at a time; a longer text is scored alone.
+BATCH_BYTES = 2_000_000
+#: What ``str.split`` gives, with places.
 TOKEN = re.compile(r"\S+")
-#: A token that isn't plain. These signs and digits are what shapes tell apart.
+#: A token with such a sign isn't an ordinary word.
 TELLING = re.compile(r"[0-9@=+\"'()_\[\]<]")
-TELLING_TOKEN = re.compile(r"[^\s0-9@=+\"'()_\[\]<]*[0-9@=+\"'()_\[\]<]\S*")
 EDGE = ".,;:!?*#$%&|()[]<>\"'"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -36,9 +39,12 @@ _HEX = re.compile(r"[0-9a-fA-F]+")
 
 def features(token: str) -> list[str]:
     """Features of a token's shape."""
-    if not TELLING.search(token):
-        return ["plain"]
     core = token.strip(EDGE)
+    if not TELLING.search(token):
+        if not core:
+            return ["signs"]
+        case = "lower" if core.islower() else "upper" if core.isupper() else "title" if core.istitle() else "mixed"
+        return ["word", f"case={case}", f"word-len={min(len(core), 12)}", f"ending={core[-2:].lower()}"]
     long = re.sub(r"\d", "d", _LETTERS.sub(lambda m: "x" * len(m[0]), core))
     runs = re.sub(r"x+", "x", re.sub(r"d+", "d", long))
     exact = re.sub(r"x+", "x", long)
@@ -50,6 +56,8 @@ def features(token: str) -> list[str]:
         f.append(f"hex={min(len(core) // 8, 8)}")
         if len(core) >= 32:
             f.append("hex-long")
+    if len(core) >= 16 and digits >= 2 and sum(c.isalpha() for c in core) >= 4 and "@" not in core and "/" not in core:
+        f.append("random" if len(re.findall(r"[a-zA-Z][0-9]|[0-9][a-zA-Z]", core)) >= 4 else "parts")
     if core and len(core) > 3 and core.isdigit():
         f.append(f"number={min(len(core), 20)}")
     if core.count(".") == 3 and core.replace(".", "").isdigit():
@@ -71,25 +79,36 @@ class Model:
     #: From label, to label.
     trans: np.ndarray
     first: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def scores(self, token: str) -> np.ndarray:
-        """What the token adds to itself, to the next and to the previous token, by label."""
-        key = token if TELLING.search(token) else ""
-        known = self.cache.get(key)
-        if known is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            ids = [self.number[f] for f in (features(key) if key else ["plain"]) if f in self.number]
-            known = self.weights[:, ids].sum(axis=1)
-            self.cache[key] = known
-        return known
-
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        s = np.stack([self.scores(t) for t in tokens])
-        e = s[:, 0].copy()
-        e[1:] += s[:-1, 1]
-        e[:-1] += s[1:, 2]
+    #: Types by token, and by their features; scores of types.
+    types: dict[str, int] = field(default_factory=dict)
+    known: dict[tuple[int, ...], int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 3, len(LABELS))))
+
+    def type_of(self, token: str) -> int:
+        ids = tuple(sorted({self.number[f] for f in features(token) if f in self.number}))
+        at = self.known.setdefault(ids, len(self.known))
+        if at >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(64, len(self.table)), 3, len(LABELS)))])
+        if at == len(self.known) - 1:
+            self.table[at] = self.weights[:, list(ids)].sum(axis=1)
+        self.types[token] = at
+        return at
+
+    def emissions(self, tokens: list[str], begins: np.ndarray | None = None) -> np.ndarray:
+        """Scores of labels for each token; ``begins`` says where texts begin, which aren't neighbours."""
+        if len(self.types) > 500_000 or len(self.known) > 100_000:
+            self.types.clear()
+            self.known.clear()
+        get, new = self.types.get, self.type_of
+        kinds = np.fromiter((k if (k := get(t)) is not None else new(t) for t in tokens), np.int64, len(tokens))
+        s = self.table
+        e = s[kinds, 0]
+        before, after = s[kinds[:-1], 1], s[kinds[1:], 2]
+        if begins is not None and len(tokens) > 1:
+            same = ~begins[1:, None]
+            before, after = before * same, after * same
+        e[1:] += before
+        e[:-1] += after
         return e
 
 
@@ -155,32 +174,46 @@ def train(rows: list[tuple[list[str], list[str]]], steps: int = 300, rate: float
     return Model(number, params[0], params[1], params[2])
 
 
-def safe_gap(model: Model, longest: int = 200) -> int | None:
-    """Plain tokens in a row after which any two labels' best path has passed through O, or None if there is no such number.
+@dataclass
+class Clear:
+    """Tokens whose labels score no more than ``most`` above O, in a row of 2 * reach - 1, are at O in the middle."""
+
+    reach: int
+    most: np.ndarray
 
-    The first and the last of them may have other neighbours, so they aren't counted.
+
+def clear_rule(model: Model, samples: list[list[str]], longest: int = 6) -> Clear | None:
+    """A rule that holds for this model, or None.
+
+    Whatever the labels at both ends of the row and the scores within the bound, the path through O all along has to be
+    better than each that isn't at O in the middle. The bound comes from how the tokens of ``samples`` score; any bound
+    gives a true rule if one is found.
     """
-    s = model.scores("plain")
-    step = model.trans + s.sum(axis=0)
-    if (step > step[O, O] + 1e-12).any() or (np.delete(step[:, :], O, axis=1).max() >= step[O, O]):
-        return None
-    k = len(LABELS)
-    free = step.copy()  # best path between two labels
-    off = step.copy()  # the same without O in between; ends may be O
-    inner = step.copy()
-    for n in range(2, longest):
-        free = (free[:, :, None] + step[None]).max(axis=1)
-        allowed = inner.copy()
-        allowed[:, O] = -np.inf
-        inner = (allowed[:, :, None] + step[None]).max(axis=1)
-        off = inner
-        if (free > off + 1e-9).all():
-            return n + 1
+    e = np.concatenate([model.emissions(x) for x in samples if x] or [np.zeros((1, len(LABELS)))])
+    over = e - e[:, O : O + 1]
+    for share in (0.99, 0.97, 0.94, 0.9, 0.8, 0.7, 0.5):
+        most = np.quantile(over, share, axis=0)
+        most[O] = 0.0
+        step = model.trans + most
+        into = step.copy()  # from the left end to the token in the middle, and its score
+        out = model.trans.copy()  # from it to the right end, whose score both paths have
+        for reach in range(1, longest + 1):
+            if reach > 1:
+                into = (into[:, :, None] + step[None]).max(axis=1)
+                out = (step[:, :, None] + out[None]).max(axis=1)
+            other = (np.delete(into, O, axis=1)[:, :, None] + np.delete(out, O, axis=0)[None]).max(axis=1)
+            through = model.trans[:, O : O + 1] + (2 * reach - 2) * model.trans[O, O] + model.trans[O : O + 1, :]
+            if (through > other + 1e-6).all():
+                return Clear(reach, most + 1e-9)
     return None
 
 
-def viterbi(model: Model, pieces: list[np.ndarray], at_start: list[bool]) -> list[np.ndarray]:
-    """Best labels of each piece of emissions, in batches of like length. Pieces not at a text's start begin after O."""
+def viterbi(model: Model, pieces: list[np.ndarray], at_start: list[bool], at_end: list[bool] | None = None) -> list[np.ndarray]:
+    """Best labels of each piece of emissions, in batches of like length; of equal paths, those of the lowest labels from the end.
+
+    Pieces not at a text's start begin after O, and those not at its end are followed by O.
+    """
+    at_end = [True] * len(pieces) if at_end is None else at_end
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
     hi = 0
@@ -201,136 +234,132 @@ def viterbi(model: Model, pieces: list[np.ndarray], at_start: list[bool]) -> lis
             s = score[:, :, None] + model.trans
             back[:, t] = s.argmax(axis=1)
             score = np.where((t < lengths)[:, None], s.max(axis=1) + e[:, t], score)
-        last = score.argmax(axis=1)
+        last = (score + np.where(np.array([at_end[i] for i in part])[:, None], 0.0, model.trans[:, O])).argmax(axis=1)
+        rows = np.arange(len(part))
+        y = np.zeros((len(part), longest), np.int64)
+        y[rows, lengths - 1] = last
+        for t in range(longest - 1, 0, -1):
+            y[:, t - 1] = np.where(t < lengths, back[rows, t, y[:, t]], y[:, t - 1])
         for r, i in enumerate(part):
-            y = np.empty(lengths[r], np.int64)
-            y[-1] = last[r]
-            for t in range(lengths[r] - 1, 0, -1):
-                y[t - 1] = back[r, t, y[t]]
-            out[i] = y
+            out[i] = y[r, : lengths[r]]
     return out
 
 
-def tag_texts(model: Model, texts: list[str | None], gap: int | None) -> list[list[tuple[int, int, str]]]:
+def label_texts(model: Model, texts: list[str | None], rule: Clear | None) -> list[tuple[int, list[int]]]:
+    """(number of the text, labels of its tokens) of the texts that have any but O."""
+    split = [t.split() if t else [] for t in texts]
+    lengths = np.array([len(x) for x in split], np.int64)
+    tokens = [t for x in split for t in x]
+    if not tokens:
+        return []
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    begins = np.zeros(len(tokens) + 1, bool)
+    begins[starts[lengths > 0]] = True
+    begins[-1] = True
+    e = model.emissions(tokens, begins[:-1])
+    sure = np.zeros(len(tokens), bool)
+    if rule is not None:
+        fits = (e - e[:, O : O + 1] <= rule.most).all(axis=1)
+        # How many tokens in a row fit up to each one, and from each one, within its text.
+        n, w = np.arange(len(tokens)), rule.reach
+        last_bad = np.maximum.accumulate(np.where(~fits, n, -1))
+        next_bad = np.minimum.accumulate(np.where(~fits, n, len(tokens))[::-1])[::-1]
+        first = np.repeat(starts, lengths)
+        end = np.repeat(ends, lengths)
+        # Both ends of the row are tokens of the text.
+        sure = (n - last_bad >= w) & (next_bad - n >= w) & (n - w >= first) & (n + w < end)
+    edge = np.concatenate([[True], sure[1:] != sure[:-1]]) | begins[:-1]
+    cuts = np.append(np.flatnonzero(edge), len(tokens))
+    pieces, head, tail, place = [], [], [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if not sure[lo]:
+            pieces.append(e[lo:hi])
+            head.append(bool(begins[lo]))
+            tail.append(bool(begins[hi]))
+            place.append(lo)
+    found: dict[int, list[int]] = {}
+    for lo, y in zip(place, viterbi(model, pieces, head, tail), strict=True):
+        if (y != O).any():
+            text = int(np.searchsorted(ends, lo, side="right"))
+            labels = found.setdefault(text, [O] * int(lengths[text]))
+            at = lo - int(starts[text])
+            labels[at : at + len(y)] = y.tolist()
+    return sorted(found.items())
+
+
+def tag_texts(model: Model, texts: list[str | None], rule: Clear | None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the entities of each text, ends exclusive, without punctuation at their ends."""
-    pieces, starts, owners = [], [], []
-    for n, text in enumerate(texts):
-        if not text or not TELLING.search(text):
-            continue
-        for tokens, head in _pieces(text, gap):
-            pieces.append(model.emissions([t for t, _ in tokens]))
-            starts.append(head)
-            owners.append((n, tokens))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (n, tokens), labels in zip(owners, viterbi(model, pieces, starts), strict=True):
+    for n, labels in label_texts(model, texts, rule):
         open_kind = None
-        for (token, at), y in zip(tokens, labels.tolist(), strict=True):
+        for m, y in zip(TOKEN.finditer(texts[n]), labels, strict=True):
             if y == O:
                 open_kind = None
                 continue
             kind, begins = LABELS[y][2:], LABELS[y][0] == "B"
-            core = token.strip(EDGE) or token
-            lo = at + token.index(core)
+            core = m[0].strip(EDGE) or m[0]
+            lo = m.start() + m[0].index(core)
             hi = lo + len(core)
             if not begins and open_kind == kind:
                 out[n][-1] = (out[n][-1][0], hi, kind)
             else:
                 out[n].append((lo, hi, kind))
             open_kind = kind
-    return [sorted(x) for x in out]
-
+    return out
 
-def _pieces(text: str, gap: int | None) -> Iterator[tuple[list[tuple[str, int]], bool]]:
-    """Pieces of (token, place) that are decoded alone, and whether they begin the text.
 
-    A piece reaches so far over plain tokens that the best path is at O before it begins and after it ends.
-    """
-    if gap is None:
-        yield [(m[0], m.start()) for m in TOKEN.finditer(text)], True
-        return
-    reach = gap + 2
-    done = 0  # characters given out
-    marks = [(m.start(), m.end()) for m in TELLING_TOKEN.finditer(text)]
-    i = 0
-    while i < len(marks):
-        lo, head = _back(text, marks[i][0], reach, done)
-        end = _ahead(text, marks[i][1], reach)
-        i += 1
-        while i < len(marks) and marks[i][0] < end:  # it goes on while it reaches another such token
-            end = _ahead(text, marks[i][1], reach)
-            i += 1
-        yield [(m[0], m.start()) for m in TOKEN.finditer(text, lo, end)], head
-        done = end
-
-
-def _back(text: str, at: int, tokens: int, floor: int) -> tuple[int, bool]:
-    """Start of the token so many tokens before that which starts at ``at``; whether it is the text's first."""
-    p = at
-    for _ in range(tokens):
-        q = p
-        while q > floor and text[q - 1].isspace():
-            q -= 1
-        if q == floor:
-            break
-        while q > floor and not text[q - 1].isspace():
-            q -= 1
-        p = q
-    return p, floor == 0 and (p == 0 or text[:p].isspace())
-
-
-def _ahead(text: str, at: int, tokens: int) -> int:
-    """End of the token so many tokens after that which ends at ``at``."""
-    p, n = at, len(text)
-    for _ in range(tokens):
-        while p < n and text[p].isspace():
-            p += 1
-        while p < n and not text[p].isspace():
-            p += 1
-    return p
+def learn(rows: list[tuple[list[str], list[str]]] | None = None) -> tuple[Model, Clear | None]:
+    """The model of a labelled table, by default this package's, and the rule that holds for it."""
+    rows = labelled_rows() if rows is None else rows
+    model = train(rows)
+    return model, clear_rule(model, [[t for t, y in zip(tokens, tags, strict=True) if y == "O" and not TELLING.search(t)] for tokens, tags in rows])
 
 
 def tag(docs: DataFrame, rows: list[tuple[list[str], list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value) for every entity of every document; places count characters from 0.
 
-    ``rows`` is the labelled table; by default it is the one of this package. Null and empty texts hold nothing. A null
-    id stays null; repeated rows are tagged each. An empty table gives no rows. Other columns aren't read.
+    ``rows`` is the labelled table; by default it is the one of this package, which has e-mail addresses, telephone
+    numbers, IP addresses, card numbers and secrets. Every text is decoded whole, whatever its length. Of equal paths
+    that with the lowest labels, from the end, is taken. Null and empty texts hold nothing. A null id stays null;
+    repeated rows are tagged each. An empty table gives no rows. Ids keep their type. Other columns aren't read.
     """
-    model = train(labelled_rows() if rows is None else rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model, safe_gap(model)))
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike(TELLING.pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, gap = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = part.column("text").to_pylist()
-                found = tag_texts(model, texts, gap)
-                at = [i for i, x in enumerate(found) for _ in x]
-                flat = [(a, b, k, texts[i][a:b]) for i, x in enumerate(found) for a, b, k in x]
-                cols = list(zip(*flat, strict=True)) if flat else [[]] * 4
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), pa.array(cols[2], pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[3], pa.string())], ["id", "kind", "start", "end", "value"])
+        model, rule = shared.value
+        for part in chunked(batches, "text", BATCH_BYTES):
+            texts = part.column("text").to_pylist()
+            found = tag_texts(model, texts, rule)
+            at = [i for i, x in enumerate(found) for _ in x]
+            flat = [(a, b, k, texts[i][a:b]) for i, x in enumerate(found) for a, b, k in x]
+            cols = list(zip(*flat, strict=True)) if flat else [[]] * 4
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), pa.array(cols[2], pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[3], pa.string())], ["id", "kind", "start", "end", "value"])
 
     return src.mapInArrow(run, f"id {kind}, kind string, start int, end int, value string").withColumnRenamed("id", "doc_id")
 
 
 def redact(docs: DataFrame, rows: list[tuple[list[str], list[str]]] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with each entity in its text replaced by its kind in brackets; all else is left alone, null texts too."""
-    model = train(labelled_rows() if rows is None else rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model, safe_gap(model)))
+    """``docs`` with each entity of ``tag`` in its text replaced by its kind in brackets.
+
+    Everything else is left alone: other columns of any name, null ids, null and empty texts, and the number of rows,
+    repeated ones too. An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows))
 
     @F.pandas_udf("string")
     def hide(texts):
         import pandas as pd
 
-        model, gap = shared.value
+        model, rule = shared.value
         out = []
-        for text, found in zip(texts, tag_texts(model, list(texts), gap), strict=True):
+        for text, found in zip(texts, tag_texts(model, list(texts), rule), strict=True):
             for lo, hi, kind in reversed(found):
                 text = f"{text[:lo]}[{kind}]{text[hi:]}"
             out.append(text)
         return pd.Series(out, dtype=object)
 
     text = F.col(f"`{text_col}`")
-    return docs.withColumn(text_col, F.when(text.rlike(TELLING.pattern), hide(text)).otherwise(text))
+    return docs.withColumn(text_col, F.when(text.isNotNull(), hide(F.coalesce(text, F.lit("")))))

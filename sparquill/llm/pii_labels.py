@@ -46,6 +46,9 @@ def _card(r: random.Random) -> list[str]:
 def _secret(r: random.Random) -> list[str]:
     n = r.choice([32, 40, 40, 40, 40, 64])
     s = "".join(r.choice("0123456789abcdef") for _ in range(n))
+    if r.random() < 0.3:
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        s = r.choice(["", "", "sk_", "key-", "ghp_", "AK"]) + "".join(r.choice(letters) for _ in range(r.choice([20, 24, 32, 36, 44])))
     return [r.choice([f'"{s}"', f'"{s}"', s, f"'{s}'", f'"{s}"'])]
 
 
@@ -53,7 +56,7 @@ def _harmless(r: random.Random) -> list[str]:
     return r.choice([
         [_digits(r, r.randint(1, 4))], [f"{r.randint(1, 9)}.{r.randint(0, 9)}"], [f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}"], [f"${_digits(r, 2)}.{_digits(r, 2)}"], [f"{r.randint(1, 23)}:{_digits(r, 2)}"],
         [f"20{_digits(r, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}"], [f"{_digits(r, 1)},{_digits(r, 3)},{_digits(r, 3)}"], [f"{r.randint(1, 99)}%"], ["version", f"{r.randint(1, 4)}.0"], ["x", "=", str(r.randint(1, 99))],
-        ["(c)", f"20{_digits(r, 2)}"], [f"{_digits(r, 5)}"], [f"#{_digits(r, 3)}"], [f"{_digits(r, 6)}"], ["No.", _digits(r, 2)], [f"[{r.randint(1, 40)}]"], [f"{r.randint(1, 9)}th"], ["=", f'"{_word(r)}"'], ["BY-NC", "4.0"], [f"v{r.randint(1, 9)}"], [f"@{_word(r)}"], ["a", "+", "b"], [f"{r.randint(1, 9)}-{r.randint(10, 20)}"],
+        ["(c)", f"20{_digits(r, 2)}"], [f"{_digits(r, 5)}"], [f"#{_digits(r, 3)}"], [f"{_digits(r, 6)}"], ["No.", _digits(r, 2)], [f"[{r.randint(1, 40)}]"], [f"{r.randint(1, 9)}th"], ["=", f'"{_word(r)}"'], ["BY-NC", "4.0"], [f"v{r.randint(1, 9)}"], [f"@{_word(r)}"], ["a", "+", "b"], [f"{r.randint(1, 9)}-{r.randint(10, 20)}"], [f"{_word(r)}_{_word(r)}_{_word(r)}_{_word(r)}"], [f"{_word(r)}({_word(r)}_{_digits(r, 1)})"], [f"https://{_word(r)}.com/{_word(r)}/{_digits(r, 4)}"],
     ])
 
 

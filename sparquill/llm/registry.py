@@ -78,7 +78,7 @@ SELECT min(conv_id) AS conv_id, CAST(n AS INTEGER) AS n_turns, arg_min(rendered,
 """
 
 _URLS = r"""
-WITH u AS (SELECT page_id, url, lower(coalesce(url, '')) AS u FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, lower(coalesce(url, '')) AS u FROM pages),
  e AS (SELECT *, regexp_extract(u, '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host,
          regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM u),
  t AS (SELECT page_id, url, list_sort(list_distinct(list_filter([CASE WHEN scheme <> '' THEN 's:' || scheme END, CASE WHEN host <> '' THEN 'host:' || host END, CASE WHEN contains(u, '#') THEN 'fragment' END]
@@ -86,15 +86,13 @@ WITH u AS (SELECT page_id, url, lower(coalesce(url, '')) AS u FROM pages),
          || list_transform(list_filter(string_split_regex(path, '[^\p{L}\p{N}_]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), lambda x: 'p:' || x)
          || list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'q:' || regexp_replace(x, '=.*', '')), lambda x: x IS NOT NULL))) AS tokens FROM e),
  b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
- l AS (SELECT row_number() OVER () AS r, tokens, bad FROM t JOIN b ON page_id = doc_id),
+ l AS MATERIALIZED (SELECT row_number() OVER () AS r, tokens, bad FROM t JOIN b ON page_id = doc_id),
  n AS (SELECT count(*)::double AS n, sum(bad)::double AS nb FROM l),
- x AS (SELECT r, bad, unnest(tokens) AS a FROM l),
- s AS (SELECT [a] AS k, bad FROM x
-  UNION ALL SELECT [x.a, y.a], x.bad FROM x JOIN x y ON x.r = y.r AND x.a < y.a
-  UNION ALL SELECT [x.a, y.a, z.a], x.bad FROM x JOIN x y ON x.r = y.r AND x.a < y.a JOIN x z ON x.r = z.r AND y.a < z.a
-  UNION ALL SELECT [x.a, y.a, z.a, w.a], x.bad FROM x JOIN x y ON x.r = y.r AND x.a < y.a JOIN x z ON x.r = z.r AND y.a < z.a JOIN x w ON x.r = w.r AND z.a < w.a),
+ y AS (SELECT r, bad, unnest(tokens) AS a FROM l),
+ x AS MATERIALIZED (SELECT y.* FROM y JOIN (SELECT a FROM y GROUP BY a HAVING sum(bad) >= (SELECT greatest(ceil(0.002::double * n), 10) FROM n)) USING (a)),
+ s AS (SELECT r, bad, [a] AS k, a AS top FROM x UNION ALL SELECT s.r, s.bad, list_append(s.k, x.a), x.a FROM s JOIN x ON x.r = s.r AND x.a > s.top),
  c AS (SELECT k, count(*)::double AS f, sum(bad)::double AS fb FROM s GROUP BY k),
- rules AS (SELECT k, fb / f AS conf FROM c, n WHERE fb >= greatest(ceil(0.002::double * n), 10) AND fb / f >= 0.35 AND fb / f / (nb / n) >= 1.2),
+ rules AS MATERIALIZED (SELECT k, fb / f AS conf FROM c, n WHERE fb >= greatest(ceil(0.002::double * n), 10) AND fb / f >= 0.35 AND fb / f - nb / n >= 2.0::double * sqrt(nb / n * (1 - nb / n) / f)),
  kept AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules q WHERE len(q.k) < len(r.k) AND q.conf >= r.conf AND list_has_all(r.k, q.k))),
  m AS (SELECT tokens, count(*) AS n_rules, max(conf) AS confidence FROM (SELECT DISTINCT tokens FROM t) JOIN kept ON list_has_all(tokens, k) GROUP BY tokens)
 SELECT page_id, url, CAST(coalesce(n_rules, 0) AS INTEGER) AS n_rules, round(confidence, 6) AS confidence, n_rules IS NOT NULL AS blocked FROM t LEFT JOIN m USING (tokens)

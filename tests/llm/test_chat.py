@@ -51,8 +51,14 @@ def test_text_that_looks_like_a_boundary_is_no_prefix(spark):
 
 
 def test_many_turns(spark):
-    rows = [(c, t, "user", f"{t}") for c in (1, 2) for t in range(400 - c)]
-    assert got(maximal_conversations(spark.createDataFrame(rows, SCHEMA))).keys() == {1}
+    rows = [(c, t, "user", f"{t}") for c in (1, 2) for t in range(10_000 - c)]
+    out = got(maximal_conversations(spark.createDataFrame(rows, SCHEMA)))
+    assert out.keys() == {1} and out[1] == brute([x for x in rows if x[0] == 1])[1]
+
+
+def test_ids_of_text(spark):
+    rows = [("b", 0, "user", "hi"), ("a", 0, "user", "hi"), ("c", 0, "user", "hi"), ("c", 1, "user", "ho"), ("d", 0, "user", "ho")]
+    assert got(maximal_conversations(spark.createDataFrame(rows, SCHEMA.replace("conv_id long", "conv_id string")))).keys() == {"c", "d"}
 
 
 def test_empty(spark):
