@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of ``MIN_MATCH`` words of the benchmark items are seeds. Documents stream past the table of seeds; a rolling hash
-of each window of a document finds the seeds that it shares (Karp-Rabin), which are then compared word by word. Pairs
-whose shared seeds could cover enough of the item are tiled: the longest match without marked words is marked, again
-and again, until none of ``MIN_MATCH`` words is left. The tiles may stand in any order, so reordered passages count.
+Runs of ``MIN_MATCH`` words of the benchmark items are seeds. A running hash over the words of a document finds the
+seeds that it has (Karp-Rabin), and a join on the hash brings documents and items together. Pairs whose shared seeds
+could cover enough of the item are tiled word by word: the longest matches without marked words are marked, again and
+again, until none of ``MIN_MATCH`` words is left. The tiles may stand in any order, so reordered passages count.
 """
 
 from __future__ import annotations
@@ -12,182 +12,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KA, KB, WORD, cut, select_in, small_side, with_key
+from .common import KA, KB, WORD, chunked, cut, lists, mix64, release, select_in, small_side, type_of, with_key
 
 MIN_MATCH = 4
 COVERAGE = 0.6
-#: Bytes of benchmark texts that a worker holds at a time; a larger benchmark is taken in several passes.
-BLOCK_BYTES = 16_000_000
+#: Hashes of seeds, eight bytes each, that are sent to the workers to sift documents; of a larger benchmark all windows go
+#: to the join.
+SIFTED_SEEDS = 4_000_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 
 
-def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each window of k word numbers; windows with a word of no item get 0."""
-    m = len(ids) - k + 1
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def rolling(words: list[str], k: int, hashes: dict[str, int]) -> np.ndarray:
+    """Hash of each window of k words."""
+    m = len(words) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
+    x = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if len(hashes) > 500_000:
+        hashes.clear()
     h = np.zeros(m, np.uint64)
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) + _U(1)
         for j in range(k):
-            h = (h + x[j : j + m]) * _P
-            h ^= h >> _U(32)
-    bad = np.concatenate([[0], np.cumsum(ids < 0)])
-    h[bad[k:] != bad[:-k]] = 0
-    return h
+            h = h * _P + x[j : j + m]
+    return mix64(h)
 
 
-def tile(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (doc position, item position, length), from the shared seeds (starts in doc, at in item).
+def tile(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (doc position, item position, length) of two arrays of word numbers; those below 0 match nothing.
 
     Of matches of one length, that of the lower item position is marked first, then of the lower document position.
     """
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    seeds = sorted(set(zip(at.tolist(), starts.tolist(), strict=True)))
+    n, m = len(doc), len(item)
+    if n < k or m < k:
+        return []
+    # Seeds: places of equal windows. Windows are numbered by their words, so equal numbers are equal words.
+    both = np.concatenate([doc, item]).astype(np.int64)
+    number = np.zeros(n + m, np.int64)
+    for j in range(k):
+        # Windows across the end of the document, or of the item, get numbers too, but aren't looked at.
+        step = np.concatenate([both[j:], np.full(j, -2)])
+        _, number = np.unique(number * (both.max() + 3) + step + 2, return_inverse=True)
+    known = np.concatenate([[0], np.cumsum(doc < 0)])
+    at_doc = np.flatnonzero(known[k:] == known[:-k])
+    of_doc, of_item = number[at_doc], number[n : n + m - k + 1]
+    order = np.argsort(of_item, kind="stable")
+    lo, hi = np.searchsorted(of_item[order], of_doc, "left"), np.searchsorted(of_item[order], of_doc, "right")
+    many = hi - lo
+    d = np.repeat(at_doc, many)
+    i = order[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
+    # Seeds one after another on a diagonal are one match.
+    order = np.lexsort((i, d - i))
+    d, i = d[order], i[order]
+    used_doc, used_item = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64)
     tiles = []
-    while True:
-        best, length = [], k
-        on = {}
-        for i, d in reversed(seeds):
-            # Matches grow from the right, so that each is one longer than that of the next words.
-            if not (free_doc[d] and free_item[i]):
-                continue
-            n = on.get((i + 1, d + 1), 0)
-            if n:
-                n += 1
-            elif free_doc[d : d + k].all() and free_item[i : i + k].all():
-                n = k
-            if not n:
-                continue
-            on[i, d] = n
-            if n > length:
-                best, length = [(i, d)], n
-            elif n == length:
-                best.append((i, d))
-        if not best:
-            return tiles
-        for i, d in reversed(best):
-            if free_doc[d : d + length].all() and free_item[i : i + length].all():
-                free_doc[d : d + length] = False
-                free_item[i : i + length] = False
-                tiles.append((d, i, length))
-
-
-class Items:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, rows: list[tuple[int, str]], k: int):
-        self.k = k
-        self.words: dict[str, int] = {}
-        self.ids, self.texts = [], []
-        item, place, hashes = [], [], []
-        for ident, text in rows:
-            words = WORD.findall(text.lower())
-            if len(words) < k:
-                continue
-            ids = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64)
-            h = _rolling(ids, k)
-            hashes.append(h)
-            item.append(np.full(len(h), len(self.ids)))
-            place.append(np.arange(len(h)))
-            self.ids.append(ident)
-            self.texts.append(ids)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
-        bits = max(16, int(np.ceil(np.log2(max(1, len(h)))) + 5))
-        self.shift = _U(64 - bits)
-        self.bloom = np.zeros(1 << bits, bool)
-        self.bloom[(self.hashes >> self.shift).astype(np.int64)] = True
-
-    def match(self, text: str, least: float) -> list[tuple[int, float, int]]:
-        """(item, coverage, tiles) of the items that the text covers to this share."""
-        get = self.words.get
-        # Numbers of the words, -1 for those of no item.
-        ids = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
-        h = _rolling(ids, self.k)
-        where = np.flatnonzero(self.bloom[(h >> self.shift).astype(np.int64)] & (h != 0))
-        if not len(where):
-            return []
-        lo, hi = np.searchsorted(self.hashes, h[where], "left"), np.searchsorted(self.hashes, h[where], "right")
-        n = hi - lo
-        doc_at = np.repeat(where, n)
-        seed = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        items, places = self.item[seed], self.place[seed]
-        order = np.argsort(items, kind="stable")
-        doc_at, items, places = doc_at[order], items[order], places[order]
-        out = []
-        cuts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1], [True]])) if len(items) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            words = self.texts[items[a]]
-            could = np.zeros(len(words) + 1, np.int64)
-            np.add.at(could, places[a:b], 1)
-            np.add.at(could, places[a:b] + self.k, -1)
-            # Tiles lie within shared seeds, so these bound what tiling can reach.
-            if (np.cumsum(could[:-1]) > 0).sum() < least * len(words):
-                continue
-            d, p = doc_at[a:b], places[a:b]
-            real = np.ones(len(d), bool)
-            for j in range(self.k):
-                real &= ids[d + j] == words[p + j]
-            tiles = tile(ids, words, d[real], p[real], self.k)
-            share = sum(t[2] for t in tiles) / len(words)
-            if share >= least:
-                out.append((self.ids[items[a]], share, len(tiles)))
-        return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size. Only one block is on the driver at a time if there are several."""
-    src = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null").distinct()
-    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for b in range(n):
-        yield sorted((r["item"], r["text"]) for r in src.where(part == b).collect())
+    while len(d):
+        cut_ = np.flatnonzero((d[1:] - i[1:] != d[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)) + 1
+        first = np.concatenate([[0], cut_])
+        length = np.diff(np.append(first, len(d))) + k - 1
+        best = int(length.max())
+        at = first[length == best]
+        for s in at[np.lexsort((d[at], i[at]))].tolist():
+            x, y = int(d[s]), int(i[s])
+            if not used_doc[x : x + best].any() and not used_item[y : y + best].any():
+                used_doc[x : x + best] = 1
+                used_item[y : y + best] = 1
+                tiles.append((x, y, best))
+        marks_doc, marks_item = np.concatenate([[0], np.cumsum(used_doc)]), np.concatenate([[0], np.cumsum(used_item)])
+        free = (marks_doc[d + k] == marks_doc[d]) & (marks_item[i + k] == marks_item[i])
+        d, i = d[free], i[free]
+    return tiles
+
+
+def item_seeds(items: DataFrame, k: int) -> DataFrame:
+    """(h, iid, words, places): the distinct windows of each item, and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for iid, text in zip(batch.column("iid").to_pylist(), batch.column("itext").to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                h = rolling(words, k, hashes)
+                if not len(h):
+                    continue
+                order = np.argsort(h, kind="stable")
+                _, n = np.unique(h, return_counts=True)
+                first = h[order][np.concatenate([[0], np.cumsum(n)[:-1]])]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array([iid] * len(n), pa.int64()), pa.array([len(words)] * len(n), pa.int32()), lists(order.astype(np.int32), n, pa.int32())], ["h", "iid", "words", "places"])
+
+    return items.mapInArrow(run, "h long, iid long, words int, places array<int>")
+
+
+def _sieve(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and a bit table by which most others are told without a search."""
+    bits = max(10, int(np.ceil(np.log2(max(1, len(hashes))))) + 4)
+    bloom = np.zeros(1 << bits, bool)
+    bloom[(hashes >> _U(64 - bits)).astype(np.int64)] = True
+    return np.sort(hashes), bloom
+
+
+def document_windows(src: DataFrame, k: int, seeds: DataFrame) -> DataFrame:
+    """(key, h): the distinct windows of each document that are seeds, or all of them if there are very many seeds."""
+    distinct = seeds.select("h").distinct()
+    sent = None
+    if distinct.limit(SIFTED_SEEDS + 1).count() <= SIFTED_SEEDS:
+        sent = src.sparkSession.sparkContext.broadcast(_sieve(distinct.toArrow().column("h").to_numpy().view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for part in chunked(batches, "text", 2_000_000):
+            found, n = [], []
+            for text in part.column("text").to_pylist():
+                h = rolling(WORD.findall(text.lower()), k, hashes)
+                if sent is not None and len(h):
+                    known, bloom = sent.value
+                    h = h[bloom[(h >> _U(65 - len(bloom).bit_length())).astype(np.int64)]]
+                    if len(known):
+                        h = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+                h = np.unique(h)
+                found.append(h)
+                n.append(len(h))
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(KA).take(at), part.column(KB).take(at), pa.array(flat.view(np.int64))], [KA, KB, "h"])
+
+    return src.select(KA, KB, "text").mapInArrow(run, f"{KA} long, {KB} long, h long")
+
+
+def _tiles(k: int, least: float, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, share, count = [], [], []
+            for n in range(batch.num_rows):
+                own = WORD.findall(batch.column("itext")[n].as_py().lower())
+                number: dict[str, int] = {}
+                item = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
+                get = number.get
+                doc = np.array([get(w, -1) for w in WORD.findall(batch.column("text")[n].as_py().lower())], np.int64)
+                tiles = tile(doc, item, k)
+                covered = sum(t[2] for t in tiles) / len(own)
+                if covered >= least:
+                    at.append(n)
+                    share.append(covered)
+                    count.append(len(tiles))
+            kept = batch.select(columns).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(share, pa.float64()), pa.array(count, pa.int32())], [*columns, "coverage", "tiles"])
+
+    return run
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, key, item_id, coverage, tiles) for each row and item that the row's tiles cover to ``coverage`` of its words."""
+    """(id, key, item_id, coverage, tiles) for each distinct row and item that the row's tiles cover to ``coverage`` of its words."""
     src = select_in(docs, id_col, text_col).where("text is not null")
-    sc = docs.sparkSession.sparkContext
-    out = None
-    for rows in _blocks(benchmark, item_col, item_text_col):
-        shared = sc.broadcast(Items(rows, min_match))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                at, found = [], []
-                for n, text in enumerate(batch.column("text").to_pylist()):
-                    for hit in items.match(text, coverage):
-                        at.append(n)
-                        found.append(hit)
-                if not at:
-                    continue
-                p = batch.select(["id", KA, KB]).take(pa.array(at))
-                item, share, tiles = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(tiles, pa.int32())], ["id", KA, KB, "item_id", "coverage", "tiles"])
-
-        part = src.mapInArrow(run, f"id long, {KA} long, {KB} long, item_id long, coverage double, tiles int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("itext")).where("item_id is not null and itext is not null").distinct()
+    items = cut(rows.withColumn("iid", F.monotonically_increasing_id()))
+    seeds = cut(item_seeds(items.select("iid", "itext"), min_match))
+    met = document_windows(src, min_match, seeds).join(small_side(seeds), "h")
+    # Tiles lie within shared seeds, so these bound what tiling can reach. A place is there once, however often it is met.
+    shared = met.groupBy(KA, KB, "iid").agg(F.first("words").alias("words"), F.flatten(F.collect_set("places")).alias("places"))
+    reach = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (min_match - 1))))))
+    pairs = cut(shared.where(reach >= F.lit(float(coverage)) * F.col("words")).select(KA, KB, "iid"))
+    texts = src.join(small_side(cut(pairs.select(KA, KB).distinct())), [KA, KB], "left_semi").dropDuplicates([KA, KB])
+    feed = texts.join(small_side(pairs), [KA, KB]).join(small_side(items), "iid")
+    release(seeds)
+    columns = ["id", KA, KB, "item_id"]
+    return feed.select(*columns, "text", "itext").mapInArrow(_tiles(min_match, coverage, columns), f"id {type_of(src, 'id')}, {KA} long, {KB} long, item_id {type_of(items, 'item_id')}, coverage double, tiles int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, tiles): the benchmark items that documents hold.
 
     Words are runs of letters and digits in lower case. Items of fewer than ``min_match`` words, null texts and null
-    item ids match nothing; nor do null or short document texts. Rows with a null id are found with a null id; rows
-    that repeat, and items that repeat under one id, are returned once, with the largest coverage. Empty tables give
-    no rows. Other columns aren't read.
+    item ids match nothing; nor do null, empty or short document texts. Rows with a null id are found with a null id;
+    rows that repeat, and items that repeat under one id, are returned once, with the largest coverage, and of equal
+    ones the fewest tiles. Texts are taken whole; the places of words that a text and an item share by ``min_match`` in
+    a row are held for one pair at a time. Empty tables give no rows. Ids keep their types. Other columns aren't read.
     """
     found = overlaps(docs, benchmark, min_match, coverage, id_col, text_col, item_col, item_text_col)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("t"))).alias("m"))
@@ -195,7 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; columns are left alone."""
+    """The rows of ``docs`` that hold no benchmark item, as ``contaminated`` finds them; columns are left alone.
+
+    Rows of null, empty and short texts stay, and rows repeated whole go or stay together.
+    """
     bad = small_side(cut(overlaps(docs, benchmark, min_match, coverage, id_col, text_col).select(F.col(KA).alias("_sq_ba"), F.col(KB).alias("_sq_bb")).distinct()))
     own = with_key(docs, id_col, text_col)
     return own.join(bad, (own[KA] == bad["_sq_ba"]) & (own[KB] == bad["_sq_bb"]), "left_anti").drop(KA, KB)

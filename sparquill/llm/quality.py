@@ -7,6 +7,7 @@ compared to them by the Jensen-Shannon distance. Documents that are too short fo
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.38
 #: references of few documents have noise of their own.
 WORD_NOISE, LEAST_WORD_DISTANCE = 6.25, 0.15
 
+#: Languages whose references, some sixty numbers each, are sent to the workers; with more, documents are joined with theirs.
+BROADCAST_LANGUAGES = 1000
+
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "other")
 STOPS = ".,;:!?'\"()-"
 WORDS = regex.compile(r"\p{L}+")
@@ -114,16 +118,19 @@ def references(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "
     return counts.where("kind = 'char'").unionByName(common).unionByName(rest)
 
 
-def _tables(refs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """The references by language: some fifty numbers each, whatever the size of the corpus."""
-    out: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]] = {}
-    rows = refs.collect()
-    for lang in {r["lang"] for r in rows}:
-        chars = {r["item"]: r["n"] for r in rows if r["lang"] == lang and r["kind"] == "char"}
-        words = sorted((r["item"], r["n"]) for r in rows if r["lang"] == lang and r["kind"] == "word" and r["item"])
-        rest = sum(r["n"] for r in rows if r["lang"] == lang and r["kind"] == "word" and not r["item"])
-        out[lang] = (np.array([chars.get(c, 0) for c in CLASSES], float), {w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [rest], float))
-    return out
+def _table(rows: str) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+    """A language's reference out of the JSON of its (kind, item, n)."""
+    chars, words, rest = {}, [], 0
+    for x in json.loads(rows):
+        kind, item, n = x["kind"], x["item"], x["n"]
+        if kind == "char":
+            chars[item] = n
+        elif item:
+            words.append((item, n))
+        else:
+            rest = n
+    words.sort()
+    return np.array([chars.get(c, 0) for c in CLASSES], float), {w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [rest], float)
 
 
 def distances(text: str | None, table: tuple[np.ndarray, dict[str, int], np.ndarray]) -> tuple[int, int, float | None, float | None]:
@@ -155,24 +162,39 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
     The limit of the word distance falls with the number of words; without ``falling`` it is MAX_WORD_DISTANCE for all.
     The references are those of ``docs`` itself. A null language is one of its own. A null text, or one without a
     letter, isn't kept. Distances are null where the length guard holds, and such a document passes that rule.
-    Repeated rows are judged alike; an empty table gives no rows. Columns of the added names are replaced; a prefix saves
+    Repeated rows are judged alike; an empty table gives no rows. Texts are taken whole, and languages may be many. Words
+    that are equally common enter the reference in their own order. Columns of the added names are replaced; a prefix saves
     them.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_tables(references(docs, lang_col, text_col)))
     lang = _lang(docs, lang_col)
+    refs = cut(references(docs, lang_col, text_col).groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "item", "n"))).alias("_sq_ref")).withColumnRenamed("lang", "_sq_lang"))
+    few = refs.limit(BROADCAST_LANGUAGES + 1).collect()
+    shared = spark.sparkContext.broadcast({r["_sq_lang"]: _table(r["_sq_ref"]) for r in few} if len(few) <= BROADCAST_LANGUAGES else None)
 
     @F.pandas_udf("n_words int, char_distance double, word_distance double")
-    def measure(langs, texts):
+    def measure(refs, texts):
         import pandas as pd
 
-        tables = shared.value
-        rows = [distances(t, tables.get(g)) if t else (0, 0, None, None) for g, t in zip(langs, texts, strict=True)]
+        tables, known = shared.value, {}
+
+        def table(ref):
+            if tables is not None:
+                return tables[ref]
+            if ref not in known:
+                known[ref] = _table(ref)
+            return known[ref]
+
+        rows = [distances(t, table(g)) if t else (0, 0, None, None) for g, t in zip(refs, texts, strict=True)]
         return pd.DataFrame({"n_words": pd.array([r[1] for r in rows], "int32"), "char_distance": pd.array([r[2] for r in rows], "Float64"), "word_distance": pd.array([r[3] for r in rows], "Float64")})
 
     added = {f"{prefix}{c}" for c in ("n_words", "char_distance", "word_distance", "keep")}
     # As it is said not to be deterministic, the filter on it isn't pushed below it, where it would be computed again.
-    out = docs.withColumn("_sq_m", measure.asNondeterministic()(lang, F.col(f"`{text_col}`")))
+    if len(few) <= BROADCAST_LANGUAGES:
+        out = docs.withColumn("_sq_m", measure.asNondeterministic()(lang, F.col(f"`{text_col}`")))
+    else:
+        met = docs.withColumn("_sq_own", lang).join(refs, F.col("_sq_own") == F.col("_sq_lang"), "left")
+        out = met.withColumn("_sq_m", measure.asNondeterministic()(F.col("_sq_ref"), F.col(f"`{text_col}`")))
     m = F.col("_sq_m")
     limit = word_limit(m["n_words"]) if falling else F.lit(MAX_WORD_DISTANCE)
     passes = (m["n_words"] > 0) & F.coalesce(m["char_distance"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(m["word_distance"] <= limit, F.lit(True))
@@ -180,5 +202,5 @@ def judge(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text"
 
 
 def drop_low_quality(docs: DataFrame, lang_col: str | None = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the rules; columns are left alone."""
+    """The rows of ``docs`` that ``judge`` keeps, for all that it says; columns are left alone."""
     return judge(docs, lang_col, text_col, "_sq_").where("_sq_keep").select(*[F.col(f"`{c}`") for c in docs.columns])

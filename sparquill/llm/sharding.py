@@ -103,13 +103,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, group: Column | None
     """(doc_id, group, bytes, shard) for every row.
 
     ``group`` is the column of indivisible groups; by default it is the text itself (as a 128-bit hash), so copies
-    never come to lie in different shards. A null group is a group. Bytes are those of the text in UTF-8, 0 if null.
+    never come to lie in different shards. A null group is a group, and is another than that of ''. Bytes are those of the text in UTF-8, 0 if null.
     Repeated rows count each and stay together. Groups of equal bytes are taken in the order of their names. An empty
-    table gives no rows; shards may stay empty if there are fewer groups. Other columns aren't read.
+    table gives no rows; shards may stay empty if there are fewer groups. Texts may be of any length; what is read of
+    them is their length and their hash. Up to ``bucket`` groups are differenced as one; more are in buckets, and the
+    balance is a little less tight. Ids keep their type. Other columns aren't read.
     """
     text = F.col(f"`{text_col}`")
     key = F.md5(text) if group is None else group.cast("string")
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(key, F.lit("")).alias("g"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    # A mark before the name keeps the null group apart, which joins don't match.
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("g"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
     src = cut(src)
     places = partition_groups(src.groupBy("g").agg(F.sum("bytes").alias("bytes")), shards, bucket)
-    return src.join(places, "g").select(F.col("id").alias("doc_id"), F.col("g").alias("group"), "bytes", "shard")
+    return src.join(places, "g").select(F.col("id").alias("doc_id"), F.when(F.col("g") != "", F.expr("substring(g, 2)")).alias("group"), "bytes", "shard")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from rows import awkward, with_extras, words
 from sparquill.llm import decontaminate as D
 
@@ -81,12 +83,35 @@ def test_against_the_textbook(spark):
     assert got(D.contaminated(with_extras(d), with_extras(i))) == want
 
 
-def test_a_benchmark_in_several_passes(spark, monkeypatch):
+def test_a_benchmark_too_large_to_sift_by(spark, monkeypatch):
     docs, items = planted(5)
-    monkeypatch.setattr(D, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(D, "SIFTED_SEEDS", 10)
     assert got(D.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))) == brute(docs, items)
 
 
+def test_tiles_are_those_of_the_textbook():
+    r = random.Random(4)
+    for _ in range(150):
+        item = [r.randrange(6) for _ in range(r.randint(0, 30))]
+        doc = [r.choice([-1, *range(6)]) for _ in range(r.randint(0, 60))]
+        at = r.randrange(len(doc) + 1)
+        doc[at:at] = item[: r.randint(0, 30)]
+        assert D.tile(np.array(doc), np.array(item), 3) == tiling(doc, item, 3)
+
+
+def test_long_repetitive_texts(spark):
+    """Eight million shared seeds of one pair."""
+    docs = [(1, "so it goes on " * 5000), (2, "so it goes " * 30)]
+    assert got(D.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, "so it goes on " * 100)], ITEMS))) == {(1, 1): 1.0}
+
+
+def test_ids_of_text(spark):
+    rows = [("a", "one two three four five"), (None, "one two three four five six"), ("b", "else")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    i = spark.createDataFrame([("x", "one two three four")], "item_id string, text string")
+    assert got(D.contaminated(d, i)) == {("a", "x"): 1.0, (None, "x"): 1.0} and [r["doc_id"] for r in D.drop_contaminated(d, i).collect()] == ["b"]
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     item = rows[0][1]

@@ -5,7 +5,7 @@ import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from rows import CLASHES, letters
+from rows import CLASHES, awkward, letters, with_extras
 from sparquill.llm import bpe, registry
 from test_decontaminate import brute as leaks
 from test_line_dedup import brute as lines
@@ -63,6 +63,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, d).collect())) == sorted(map(str, left))
 
 
+def test_awkward_rows(spark, tmp_path):
+    """Every stage takes nulls, empty and very long texts, repeated rows, and columns of clashing names."""
+    d = str(tmp_path)
+    base = " ".join(f"w{'abcdefgh'[i % 8]}x{'klmnopq'[i % 7]}" for i in range(70))
+    rows = [(i, t, "en", "s", 0) for i, t in awkward()] + [(60, base + "\n" + base[:50], None, None, None), (61, "so it goes on " * 30_000, "en", "s", 1)]
+    docs = with_extras(spark.createDataFrame(rows, DOCS))
+    docs.write.parquet(f"{d}/documents.parquet")
+    with_extras(spark.createDataFrame([(1, "so it goes on and on"), (None, None), (2, None)], "item_id long, text string")).write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{d}/{name}")
+        docs, before = spark.read.parquet(f"{d}/{name}"), docs.count()
+        assert 0 < docs.count() <= before
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count()
+
+
 def test_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")

@@ -63,6 +63,14 @@ def test_against_brute_force(spark):
     assert not kept & {"100", "101", "104"} and len(kept) > 80
 
 
+def test_more_languages_than_are_sent_to_workers(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = sorted(map(str, Q.judge(df).collect()))
+    monkeypatch.setattr(Q, "BROADCAST_LANGUAGES", 1)
+    assert sorted(map(str, Q.judge(df).collect())) == few
+
+
 def test_rows_that_pass(spark):
     rows = corpus()
     df = with_extras(spark.createDataFrame(rows, SCHEMA))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -56,10 +57,61 @@ def test_awkward_rows(spark):
 
 
 def test_a_group_column_that_clashes(spark):
-    df = spark.createDataFrame([(1, "aa", "u"), (2, "b", "u"), (3, "cc", None), (4, None, None)], "doc_id long, text string, g string")
+    df = spark.createDataFrame([(1, "aa", "u"), (2, "b", "u"), (3, "cc", None), (4, None, None), (5, "dddd", "")], "doc_id long, text string, g string")
     out = S.shard_documents(df, shards=2, group=F.col("g")).collect()
-    assert {(r["doc_id"], r["group"], r["bytes"]) for r in out} == {(1, "u", 2), (2, "u", 1), (3, "", 2), (4, "", 0)}
-    assert len({r["shard"] for r in out if r["group"] == "u"}) == 1 and len({r["shard"] for r in out}) == 2
+    assert {(r["doc_id"], r["group"], r["bytes"]) for r in out} == {(1, "u", 2), (2, "u", 1), (3, None, 2), (4, None, 0), (5, "", 4)}
+    assert len({r["shard"] for r in out if r["group"] == "u"}) == 1 and len({r["shard"] for r in out if r["group"] is None}) == 1
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["bytes"]
+    assert sorted(sizes.values()) == [4, 5]
+
+
+def levels(values, shards, bucket):
+    """The whole method without Spark: buckets are differenced, then what they leave, level by level. Gives the shard of each group."""
+    n = max(1, -(-len(values) // bucket))
+    at = {g: (b, 0) for b in range(n) for g in values if values[g][1] % n == b}
+    level, first = {}, True
+    while True:
+        up = {}
+        groups = {}
+        if first:
+            for g, (b, _) in at.items():
+                groups.setdefault(b, []).append(g)
+        else:
+            m = max(1, -(-n // bucket))
+            for b in level:
+                groups.setdefault(b % m, []).append(b)
+            n = m
+        moved = {}
+        for b, members in groups.items():
+            members.sort()
+            sums = np.zeros((len(members), shards), np.int64)
+            for x, g in enumerate(members):
+                if first:
+                    sums[x, 0] = values[g][0]
+                else:
+                    sums[x] = level[g]
+            slot, total = S.difference(sums)
+            up[b] = total
+            for x, g in enumerate(members):
+                moved[g] = (b, slot[x])
+        at = {g: (moved[g][0], int(moved[g][1][0])) for g in at} if first else {g: (moved[b][0], int(moved[b][1][s])) for g, (b, s) in at.items()}
+        level, first = up, False
+        if n == 1 and len(level) <= 1:
+            return {g: s for g, (_, s) in at.items()}
+
+
+def test_levels_against_the_same_without_spark(spark):
+    r = random.Random(4)
+    rows = [(i, "x" * int(r.paretovariate(1.2) * 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keys = df.select(F.col("doc_id"), F.xxhash64(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias("h")).collect()
+    hashed = {x["doc_id"]: x["h"] for x in keys}
+    for bucket in (1000, 60, 7):
+        out = {x["group"]: x["shard"] for x in S.shard_documents(df, shards=4, group=F.col("doc_id"), bucket=bucket).collect()}
+        want = levels({f"={i}": (len(t), hashed[i]) for i, t in rows}, 4, bucket)
+        assert out == {g[1:]: s for g, s in want.items()}
 
 
 def test_empty(spark):
