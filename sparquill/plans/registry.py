@@ -107,7 +107,7 @@ SEARCHES: dict[str, tuple[Any, dict[str, Any], Q.Words | Q.Nested]] = {
     "search_exact": ("thing", {}, Q.Words(("thing",))),
     "search_or": ("the thing, Ering", {}, Q.Words(("the", "thing", "ering"))),
     "search_and": ("the thing", {"combine_with": AND}, Q.Words(("the", "thing"), "and")),
-    "search_and_gated": ("the thole", {"combine_with": AND}, Q.Words(("the", "thole"), "and")),
+    "search_and_gated": ("the thing thble", {"combine_with": AND}, Q.Words(("the", "thing", "thble"), "and")),
     "search_and_not": ("the thing thble", {"combine_with": AND_NOT}, Q.Words(("the", "thing", "thble"), "and_not")),
     "search_prefix": ("thin", {"prefix": True}, Q.Words(("thin",), prefix=True)),
     "search_prefix_last": ("the thi", {"prefix": lambda t, i, ts: i == len(ts) - 1}, Q.Words(("the", "thi"), prefix=(False, True))),

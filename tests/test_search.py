@@ -252,3 +252,85 @@ def test_stream(spark, index, tmp_path):
     spark.createDataFrame(DOCS[2:], SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
     both = index_stream(stream(), OPTIONS, str(tmp_path / "t"), str(tmp_path / "c"))
     assert hits(both.search("zen whale")) == hits(index.search("zen whale"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_are_taken_below_the_explode(index):
+    """A document's distinct tokens are counted once, not once for each of its tokens."""
+    lines = plan_of(index.tables.postings.groupBy().count()).splitlines() + plan_of(index.tables.postings).splitlines()
+    generate = [n for n, x in enumerate(lines) if "Generate explode" in x]
+    assert generate
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    for n, x in enumerate(lines):
+        if "array_distinct" in x:
+            assert any(m < n and depth(lines[m]) < depth(x) for m in generate)
+
+
+def test_both_ways_of_asking_agree_for_every_analyzer(spark):
+    rows = [(1, "createUser deletes theUser"), (2, "create a user"), (3, "User list of users"), (4, "the end")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    queries = spark.createDataFrame([(0, "createUser"), (1, "the user"), (2, "")], "query_id long, query string")
+    doubled = IndexOptions(fields=("text",), process_term=lambda t: F.array(F.lower(t), F.reverse(F.lower(t))), term_arrays=True)
+    for o in (IndexOptions(fields=("text",)), IndexOptions(fields=("text",), tokenize=T.camel_case_tokenize), IndexOptions(fields=("text",), process_term=T.stop_words(["the"])), doubled, IndexOptions(fields=("text",), tokenize=lambda text, field="": F.split(text, "e", -1))):
+        ix = SearchIndex.from_dataframe(docs, o)
+        many = {}
+        for r in ix.search_many(queries).orderBy("query_id", "rank").collect():
+            many.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+        for q in queries.collect():
+            assert hits(ix.search(q["query"])) == many.get(q["query_id"], [])
+    # What a search says itself goes before the index's own.
+    ix = SearchIndex.from_dataframe(docs, IndexOptions(fields=("text",), tokenize=T.camel_case_tokenize))
+    assert {i for i, _ in hits(ix.search("createUser"))} == {1, 2, 3} and hits(ix.search("createUser", tokenize=lambda q: [q]))[0][0] == 1 and len(hits(ix.search("createUser", tokenize=lambda q: [q]))) == 1
+
+
+def test_fuzzy_terms_of_many_queries(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(6))) for i in range(60)]
+    ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, text string"), IndexOptions(fields=("text",)))
+    asked = [(i, word()) for i in range(25)]
+    for fuzzy in (0.2, 0.5, 1, 3):
+        many = {}
+        for x in ix.search_many(spark.createDataFrame(asked, "query_id long, query string"), fuzzy=fuzzy).collect():
+            many.setdefault(x["query_id"], {})[x["id"]] = round(x["score"], 6)
+        for i, q in asked[:: 5]:
+            assert dict(hits(ix.search(q, fuzzy=fuzzy))) == many.get(i, {})
+
+
+def test_and_is_gated_by_the_rarest_term(spark):
+    rows = [(i, "common token" if i else "common alpha unique") for i in range(200)]
+    ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, text string"), IndexOptions(fields=("text",)))
+    found = ix.search("common unique", combine_with=AND)
+    assert [i for i, _ in hits(found)] == [0] and "LeftSemi" in plan_of(found)
+    assert "LeftSemi" not in plan_of(ix.search("common token", combine_with=AND)) and hits(ix.search("common nowhere", combine_with=AND)) == []
+    assert hits(ix.search(Combination(["common unique", "alpha"], combine_with=AND)))[0][0] == 0
+
+
+def test_ties_keep_their_order(spark):
+    """Scores of equal documents are equal to the last bit, however rows are dealt."""
+    text = "alpha beta gamma delta beta zeta eta theta " * 3
+    rows = [(i, text, text[::-1]) for i in range(12)]
+    o = IndexOptions(fields=("text", "more"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, text string, more string").repartition(n), o)
+            assert [x["id"] for x in ix.search("alpha beta zet gamma ahpla", prefix=True, fuzzy=0.3, limit=5).collect()] == [0, 1, 2, 3, 4]
+            q = spark.createDataFrame([(1, "alpha beta zeta gamma ahpla")], "query_id long, query string")
+            assert [x["id"] for x in ix.search_many(q, limit=5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_running_average_with_gaps(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 5 + 1)) if i % 3 else None) for i in range(1, 40)]
+    ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id string, text string"), IndexOptions(fields=("text",)))
+    avg = 0.0
+    for n, (_, t) in enumerate(sorted(rows, key=lambda x: str(x[0]))):
+        if t is not None:
+            avg = (avg * n + len(t.split())) / (n + 1)
+    assert ix.tables.averages[0] == pytest.approx(avg, rel=1e-6)
