@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -11,17 +12,17 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..plans.query import AND, AND_NOT, OR, operator_of
 from .build import IndexOptions, Tables
-from .search import total
 
 
 def query_specs(queries: DataFrame, options: IndexOptions, o: dict[str, Any]) -> DataFrame:
-    """(query_id, spec, q, n) of each query's terms; tokenized by the index's own Column functions."""
+    """(query_id, spec, q, n, fresh) of each query's terms; tokenized by the index's own Column functions. ``fresh``: 1 for a term's first place."""
     if any(callable(o.get(k)) for k in ("prefix", "fuzzy", "boost_term", "tokenize", "process_term", "boost_document")):
         raise TypeError("a batch of queries takes no functions as options")
     tokens = options.tokenize(F.coalesce(F.col("query"), F.lit("")), "")
     terms = F.filter(T.processed_terms(tokens, options.process_term, options.term_arrays), lambda t: t != "")
     rows = queries.select("query_id", terms.alias("ts"))
-    return rows.select("query_id", F.size("ts").alias("n"), F.posexplode("ts").alias("spec", "q"))
+    each = rows.select("query_id", F.size("ts").alias("n"), "ts", F.posexplode("ts").alias("spec", "q"))
+    return each.select("query_id", "n", "spec", "q", (F.array_position("ts", F.col("q")) == F.col("spec") + 1).cast("int").alias("fresh"))
 
 
 def matched_terms(specs: DataFrame, terms: DataFrame, o: dict[str, Any]) -> DataFrame:
@@ -76,6 +77,18 @@ def within_distance(reach: DataFrame, vocabulary: DataFrame, most: int) -> DataF
     return met.withColumn("d", far).where("d between 1 and k")
 
 
+#: Scores are summed up as whole numbers of 2 ** -20 and 2 ** -60 of a scale, which come to the same in any order; so
+#: documents alike have scores alike to the last bit, whatever the partitioning.
+HIGH, LOW = float(1 << 20), float(1 << 40)
+
+
+def scale_of(boosts: list[tuple[int, float]], o: dict[str, Any]) -> float:
+    """A power of two that no boost or parameter of the score is far above."""
+    p = o.get("bm25") or S.BM25()
+    weights = (o.get("weights") or {}).values()
+    return 2.0 ** math.ceil(math.log2(max([1.0, abs(p.k) + abs(p.d), *(abs(b) for _, b in boosts)]) * max([1.0, *map(abs, weights)])))
+
+
 def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: dict[str, Any], limit: int | None) -> DataFrame:
     """(query_id, id, score, rank). Every query is answered; ``limit`` keeps the best of each."""
     op = operator_of(o.get("combine_with") or OR)
@@ -89,12 +102,14 @@ def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: di
     average = choose([(i, tables.averages[i] if i >= 0 else 1.0) for i, _ in pairs])
     p = tables.postings.where(F.col("field_id").isin([i for i, _ in pairs]))
     score = S.bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(tables.count)), F.col("len").cast("double"), average, o.get("bm25") or S.BM25())
+    w = F.col("w") * choose(pairs) * score / F.lit(scale_of(pairs, o))
     # Each posting is scored once for a query term, however many queries have it.
-    hit = F.struct("term", "field_id", (F.col("w") * choose(pairs) * score).alias("w"))
-    per_term = p.join(matched, "term").groupBy("q", "doc_ord").agg(F.sort_array(F.collect_list(hit)).alias("hits")).select("q", "doc_ord", total("hits", "w").alias("w"))
+    per_term = p.join(matched, "term").withColumn("hi", F.floor(w * HIGH)).withColumn("lo", F.floor((w * HIGH - F.col("hi")) * LOW)).groupBy("q", "doc_ord").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
     rows = specs.join(per_term, "q")
-    # Sums are taken in one order, so that documents alike have scores alike, whatever the partitioning.
-    by = rows.groupBy("query_id", "doc_ord").agg(F.sort_array(F.collect_list(F.struct("spec", "w"))).alias("hits"), F.sum(F.when(F.col("spec") == 0, F.col("w"))).alias("first"), F.count_distinct("q").alias("words"), F.count("*").alias("met"), F.first("n").alias("n")).withColumn("score", total("hits", "w"))
+    first = lambda c: F.sum(F.when(F.col("spec") == 0, F.col(c)))
+    by = rows.groupBy("query_id", "doc_ord").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), first("hi").alias("hi0"), first("lo").alias("lo0"), F.sum("fresh").alias("words"), F.count("*").alias("met"), F.first("n").alias("n"))
+    number = lambda hi, lo: (F.col(hi).cast("double") + F.col(lo).cast("double") / LOW) / HIGH * F.lit(scale_of(pairs, o))
+    by = by.withColumn("score", number("hi", "lo")).withColumn("first", number("hi0", "lo0"))
     if op == AND:
         by = by.where("met = n")
     elif op == AND_NOT:
