@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked
-from .pii_labels import KINDS, labelled_rows
+from .pii_labels import KINDS, labelled_rows, luhn
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 O = 0  # noqa: E741
@@ -60,6 +61,9 @@ def features(token: str) -> list[str]:
         f.append("random" if len(re.findall(r"[a-zA-Z][0-9]|[0-9][a-zA-Z]", core)) >= 4 else "parts")
     if core and len(core) > 3 and core.isdigit():
         f.append(f"number={min(len(core), 20)}")
+    bare = core.replace("-", "")
+    if 13 <= len(bare) <= 19 and bare.isascii() and bare.isdigit():
+        f.append(f"check-digit={luhn(bare)}")
     if core.count(".") == 3 and core.replace(".", "").isdigit():
         f.append("quad")
     if token.startswith("+") and core.strip("+").isdigit():
@@ -311,11 +315,17 @@ def tag_texts(model: Model, texts: list[str | None], rule: Clear | None) -> list
 
 def learn(rows: list[tuple[list[str], list[str]]] | None = None) -> tuple[Model, Clear | None]:
     """The model of a labelled table, by default this package's, and the rule that holds for it."""
-    rows = labelled_rows() if rows is None else rows
+    if rows is None:
+        return _own()
     model = train(rows)
     return model, clear_rule(model, [[t for t, y in zip(tokens, tags, strict=True) if y == "O" and not TELLING.search(t)] for tokens, tags in rows])
 
 
+@lru_cache(1)
+def _own() -> tuple[Model, Clear | None]:
+    return learn(labelled_rows())
+
+
 def tag(docs: DataFrame, rows: list[tuple[list[str], list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value) for every entity of every document; places count characters from 0.
 

@@ -1,7 +1,8 @@
 """The small labelled table that the PII tagger learns from, written by a seeded generator.
 
 Each row is a list of tokens and a tag for each: O, or B-/I- before EMAIL, PHONE, IP, CARD and SECRET. Half of the
-rows hold none, but numbers, dates, prices, versions and the like that have to be left alone.
+rows hold none, but numbers, dates, prices, versions and the like that have to be left alone, among them numbers as
+long as a card's whose check digit doesn't hold.
 """
 
 from __future__ import annotations
@@ -38,9 +39,24 @@ def _ip(r: random.Random) -> list[str]:
     return [".".join(str(r.randint(0, 255)) for _ in range(4))]
 
 
+def luhn(number: str) -> bool:
+    """Whether the last digit is the check digit that card numbers have."""
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) << (i & 1)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _number(r: random.Random, n: int, valid: bool) -> str:
+    """n digits with a check digit that holds, or doesn't."""
+    head = _digits(r, n - 1)
+    return head + r.choice([d for d in "0123456789" if luhn(head + d) == valid])
+
+
 def _card(r: random.Random) -> list[str]:
-    n = _digits(r, 16)
-    return r.choice([[n], [n], [n], [n[:4], n[4:8], n[8:12], n[12:]], ["-".join((n[:4], n[4:8], n[8:12], n[12:]))], [_digits(r, 15)]])
+    n = _number(r, 16, True)
+    return r.choice([[n], [n], [n], [n[:4], n[4:8], n[8:12], n[12:]], ["-".join((n[:4], n[4:8], n[8:12], n[12:]))], [_number(r, 15, True)]])
 
 
 def _secret(r: random.Random) -> list[str]:
@@ -56,7 +72,7 @@ def _harmless(r: random.Random) -> list[str]:
     return r.choice([
         [_digits(r, r.randint(1, 4))], [f"{r.randint(1, 9)}.{r.randint(0, 9)}"], [f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 20)}"], [f"${_digits(r, 2)}.{_digits(r, 2)}"], [f"{r.randint(1, 23)}:{_digits(r, 2)}"],
         [f"20{_digits(r, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}"], [f"{_digits(r, 1)},{_digits(r, 3)},{_digits(r, 3)}"], [f"{r.randint(1, 99)}%"], ["version", f"{r.randint(1, 4)}.0"], ["x", "=", str(r.randint(1, 99))],
-        ["(c)", f"20{_digits(r, 2)}"], [f"{_digits(r, 5)}"], [f"#{_digits(r, 3)}"], [f"{_digits(r, 6)}"], ["No.", _digits(r, 2)], [f"[{r.randint(1, 40)}]"], [f"{r.randint(1, 9)}th"], ["=", f'"{_word(r)}"'], ["BY-NC", "4.0"], [f"v{r.randint(1, 9)}"], [f"@{_word(r)}"], ["a", "+", "b"], [f"{r.randint(1, 9)}-{r.randint(10, 20)}"], [f"{_word(r)}_{_word(r)}_{_word(r)}_{_word(r)}"], [f"{_word(r)}({_word(r)}_{_digits(r, 1)})"], [f"https://{_word(r)}.com/{_word(r)}/{_digits(r, 4)}"],
+        ["(c)", f"20{_digits(r, 2)}"], [f"{_digits(r, 5)}"], [f"#{_digits(r, 3)}"], [f"{_digits(r, 6)}"], ["No.", _digits(r, 2)], [f"[{r.randint(1, 40)}]"], [f"{r.randint(1, 9)}th"], ["=", f'"{_word(r)}"'], ["BY-NC", "4.0"], [f"v{r.randint(1, 9)}"], [f"@{_word(r)}"], ["a", "+", "b"], [f"{r.randint(1, 9)}-{r.randint(10, 20)}"], [f"{_word(r)}_{_word(r)}_{_word(r)}_{_word(r)}"], [f"{_word(r)}({_word(r)}_{_digits(r, 1)})"], [f"https://{_word(r)}.com/{_word(r)}/{_digits(r, 4)}"], [_number(r, r.choice([15, 16, 16]), False)], [_number(r, 16, False)],
     ])
 
 
