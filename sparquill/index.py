@@ -165,6 +165,8 @@ class IndexBuilder:
     def __init__(self, spark: SparkSession, options: IndexOptions, estimated_document_count: int | None = None, estimated_postings_per_slot: int | None = None):
         self.spark, self.options = spark, options
         self._parts: list[DataFrame] = []
+        #: Rows added one by one, with their schema; those of one schema become one DataFrame.
+        self._rows: list[tuple[Any, list[Any]]] = []
         self._frozen = False
 
     def _open(self) -> None:
@@ -177,8 +179,14 @@ class IndexBuilder:
     def add_all(self, documents: Any, schema: Any = None) -> IndexBuilder:
         """Add a DataFrame, or rows that are made into one."""
         self._open()
-        df = documents if isinstance(documents, DataFrame) else self.spark.createDataFrame(list(documents), schema)
-        self._parts.append(df)
+        if isinstance(documents, DataFrame):
+            self._parts.append(documents)
+            return self
+        for known, rows in self._rows:
+            if known == schema:
+                rows.extend(documents)
+                return self
+        self._rows.append((schema, list(documents)))
         return self
 
     def add_all_in_chunks(self, documents: Any, chunk_size: int = 10, schema: Any = None) -> IndexBuilder:
@@ -190,16 +198,17 @@ class IndexBuilder:
         return self
 
     def documents(self) -> DataFrame:
-        if not self._parts:
+        parts = [*self._parts, *(self.spark.createDataFrame(rows, schema) for schema, rows in self._rows if rows)]
+        if not parts:
             raise ValueError("no documents were added")
-        out = self._parts[0]
-        for df in self._parts[1:]:
+        out = parts[0]
+        for df in parts[1:]:
             out = out.unionByName(df, allowMissingColumns=True)
         return out
 
     @property
     def document_count(self) -> int:
-        return self.documents().count() if self._parts else 0
+        return sum(df.count() for df in self._parts) + sum(len(rows) for _, rows in self._rows)
 
     def freeze(self) -> SearchIndex:
         self._open()

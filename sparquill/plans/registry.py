@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import BM25
-from ..index import IndexBuilder, SearchIndex
+from ..index import IndexBuilder, SearchIndex, build_from_documents, create_builder
 from ..operators.build import IndexOptions
 from ..sources.store import work_folder
 from . import oracle as Q
@@ -269,6 +269,48 @@ def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(builder.freeze().search("there thing", prefix=True))
 
 
+NATIONS = IndexOptions(fields=("n_name",), id_field="n_nationkey", store_fields=("n_regionkey",))
+NATION = Q.Corpus("nation", "n_nationkey", (("n_name", "n_name"),))
+_NATIONS = "n_nationkey long, n_name string, n_regionkey long"
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> list[dict[str, Any]]:
+    return [r.asDict() for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey")).collect()]
+
+
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added one by one."""
+    builder = IndexBuilder(spark, NATIONS, estimated_document_count=25)
+    for row in _rows(spark, sf_dir):
+        builder.add(row, _NATIONS)
+    return scored(builder.freeze().search("nation 1", prefix=True), "n_nationkey", "n_regionkey")
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added in chunks."""
+    index = create_builder(spark, NATIONS).add_all_in_chunks(_rows(spark, sf_dir), 7, _NATIONS).freeze()
+    return scored(index.search("nation 1", prefix=True), "n_nationkey", "n_regionkey").withColumn("documents", F.lit(index.document_count).cast("long"))
+
+
+def _lengths_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths looked up by id, one that isn't there among them."""
+    index = build_from_documents(table(spark, sf_dir, "region").select("r_regionkey", F.concat_ws(" ", "r_name", "r_name", F.lit("of the world")).alias("t")), IndexOptions(fields=("t",), id_field="r_regionkey"))
+    ids = [r["r_regionkey"] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()] + [1_000_000]
+    return spark.createDataFrame([(i, index.has(i), index.field_length(i, "t")) for i in ids], "r_regionkey long, found boolean, len int")
+
+
+def _often(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies beyond what postings hold."""
+    texts = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.repeat(F.concat("r_name", F.lit(" ")), 70_000), F.lit("once")).alias("t"))
+    return SearchIndex.from_dataframe(texts, IndexOptions(fields=("t",), id_field="r_regionkey")).tables.postings.select(F.col("doc_ord").cast("long").alias("r_regionkey"), "term", "tf")
+
+
+_NATION = "id AS n_nationkey, n_regionkey::bigint AS n_regionkey"
+add("builder_add", _added, Q.search(NATION, Q.Words(("nation", "1"), prefix=True), _NATION, "JOIN nation ON n_nationkey = id"))
+add("builder_chunks", _chunked, Q.search(NATION, Q.Words(("nation", "1"), prefix=True), f"{_NATION}, (SELECT count(*) FROM nation) AS documents", "JOIN nation ON n_nationkey = id"))
+add("field_length_lookup", _lengths_of, f"SELECT r_regionkey::bigint AS r_regionkey, true AS found, len(list_distinct({Q.tokens("r_name || ' ' || r_name || ' of the world'")}))::integer AS len FROM region UNION ALL SELECT 1000000, false, 0")
+_OFTEN = Q.Corpus("region", "r_regionkey", (("t", "repeat(r_name || ' ', 70000) || 'once'"),))
+add("clamped_frequencies", _often, f"WITH {_OFTEN.base()} SELECT id::bigint AS r_regionkey, term, CAST(tf AS INTEGER) AS tf FROM po")
 _SAME = Q.search(TEXT, Q.Words(("there", "thing"), prefix=True))
 add("roundtrip_parquet", _saved("zstd"), _SAME)
 add("roundtrip_parquet_zlib", _saved("zlib"), _SAME)
