@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 SHARDS = 16
 #: Partial partitions that are combined in one task.
 BUCKET = 20_000
+#: Slots of partial partitions that are broadcast at most.
+BROADCAST_SLOTS = 2_000_000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,24 +60,29 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot, np.array(values[-1], np.int64)
 
 
+def buckets_of(n: int, bucket: int) -> int:
+    """Buckets for n partial partitions."""
+    return max(1, -(-n // bucket))
+
+
 def _combine(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item", kind="stable")
         slot, total = difference(np.array(pdf["sums"].tolist(), np.int64).reshape(len(pdf), k))
         top = [None] * len(pdf)
         top[0] = total.tolist()
-        return pd.DataFrame({"bucket": pdf["bucket"], "item": pdf["item"], "slots": slot.tolist(), "total": top})
+        return pd.DataFrame({"up": pdf["up"], "item": pdf["item"], "slots": slot.tolist(), "total": top})
 
     return run
 
 
 def partition_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
     """(g, shard) from (g string, bytes long), g distinct."""
-    # The first level has one number for each group, not a tuple.
     groups = cut(groups)
     count = groups.count()
-    n = max(1, -(-count // bucket))
-    first = groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(n)))
+    n = buckets_of(count, bucket)
+    # The first level has one number for each group, not a tuple.
+    name = lambda level, of, n: F.concat(F.lit(f"bucket {level} "), F.pmod(F.xxhash64(of), F.lit(n)).cast("string"))
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g", kind="stable")
@@ -84,18 +91,34 @@ def partition_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCK
         slot, total = difference(sums)
         top = [None] * len(pdf)
         top[0] = total.tolist()
-        return pd.DataFrame({"bucket": pdf["bucket"], "g": pdf["g"], "slot": slot[:, 0].astype(np.int32), "total": top})
-
-    placed = cut(first.groupBy("bucket").applyInPandas(begin, "bucket long, g string, slot int, total array<long>"))
-    out = placed.select("g", "bucket", "slot")
-    level = placed.where("total is not null").select(F.col("bucket").alias("item"), F.col("total").alias("sums"))
-    while n > 1:
-        m = max(1, -(-n // bucket))
-        step = cut(level.withColumn("bucket", F.pmod("item", F.lit(m))).groupBy("bucket").applyInPandas(_combine(shards), "bucket long, item long, slots array<int>, total array<long>"))
-        ways = F.broadcast(step) if n <= bucket else step
-        out = out.join(ways.select(F.col("item").alias("bucket"), F.col("bucket").alias("up"), "slots"), "bucket").select("g", F.col("up").alias("bucket"), F.col("slots")[F.col("slot")].alias("slot"))
-        level = step.where("total is not null").select(F.col("bucket").alias("item"), F.col("total").alias("sums"))
-        n = m
+        return pd.DataFrame({"item": pdf["item"], "g": pdf["g"], "slot": slot[:, 0].astype(np.int32), "total": top})
+
+    light = groups
+    if n > 1:
+        heavy = cut(groups.orderBy(F.desc("bytes"), "g").limit(bucket // 2))
+        n = buckets_of(count - bucket // 2, bucket)
+        light = groups.join(small_side(heavy.select("g")), "g", "left_anti")
+    placed = light.withColumn("item", name(0, "g", n)).groupBy("item").applyInPandas(begin, "item string, g string, slot int, total array<long>")
+    if count > bucket:
+        alone = F.concat(F.array("bytes"), F.array_repeat(F.lit(0).cast("long"), shards - 1))
+        placed = placed.unionByName(heavy.select(F.concat(F.lit("group "), "g").alias("item"), "g", F.lit(0).alias("slot"), alone.alias("total")))
+    placed = cut(placed)
+    out = placed.select("g", "item", "slot")
+    level = placed.where("total is not null").select("item", F.col("total").alias("sums"))
+    depth = 1
+    while (n := level.count()) > 1:
+        light, m = level, 1
+        if n > bucket:
+            stays = cut(level.orderBy(F.desc(F.array_max("sums") - F.array_min("sums")), "item").limit(bucket // 2))
+            light, m = level.join(small_side(stays.select("item")), "item", "left_anti"), buckets_of(n - bucket // 2, bucket)
+        step = light.withColumn("up", name(depth, "item", m)).groupBy("up").applyInPandas(_combine(shards), "up string, item string, slots array<int>, total array<long>")
+        if n > bucket:
+            step = step.unionByName(stays.select(F.col("item").alias("up"), "item", F.sequence(F.lit(0), F.lit(shards - 1)).alias("slots"), F.col("sums").alias("total")))
+        step = cut(step)
+        ways = step.select("item", "up", "slots")
+        out = out.join(small_side(ways) if n * shards <= BROADCAST_SLOTS else ways, "item").select("g", F.col("up").alias("item"), F.col("slots")[F.col("slot")].alias("slot"))
+        level = step.where("total is not null").select(F.col("up").alias("item"), F.col("total").alias("sums"))
+        depth += 1
     return out.select("g", F.col("slot").alias("shard"))
 
 
@@ -107,7 +130,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, group: Column | None
     Repeated rows count each and stay together. Groups of equal bytes are taken in the order of their names. An empty
     table gives no rows; shards may stay empty if there are fewer groups. Texts may be of any length; what is read of
     them is their length and their hash. Up to ``bucket`` groups are differenced as one; more are in buckets, and the
-    balance is a little less tight. Ids keep their type. Other columns aren't read.
+    balance is a little less tight, as the README says in figures. Ids keep their type. Other columns aren't read.
     """
     text = F.col(f"`{text_col}`")
     key = F.md5(text) if group is None else group.cast("string")
