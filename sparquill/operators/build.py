@@ -75,6 +75,8 @@ class Tables:
     lengths: DataFrame
     averages: tuple[float, ...]
     count: int
+    #: Postings without df, if they can be had more cheaply.
+    counted: DataFrame | None = None
 
 
 def with_ordinal(df: DataFrame, order: Column, ident: Column, out: str) -> DataFrame:
@@ -174,4 +176,4 @@ def build(documents: DataFrame, o: IndexOptions) -> Tables:
     said = each.select("doc_ord", "field_id", F.col("x.len").alias("len"), F.col("x.terms").alias("terms")).select("doc_ord", "field_id", "len", F.explode("terms").alias("term"))
     counted = said.groupBy("term", "field_id", "doc_ord").agg(T.clamp_frequency(F.count("*")).alias("tf"), F.first("len").alias("len"))
     terms = counted.groupBy("term", "field_id").agg(F.count("*").alias("df"))
-    return Tables(docs, with_df(counted, terms), terms, lengths, average_lengths(lengths, len(o.fields), count), count)
+    return Tables(docs, with_df(counted, terms), terms, lengths, average_lengths(lengths, len(o.fields), count), count, counted)

@@ -77,7 +77,7 @@ def save(index: Any, path: str, compression: str = "auto") -> None:
     put = lambda df, name: df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
     put(t.docs, "docs")
     put(t.lengths, "lengths")
-    counted = cut(t.postings.drop("df"))
+    counted = cut(t.postings.drop("df") if t.counted is None else t.counted)
     terms = cut(counted.groupBy("term", "field_id").agg(F.count("*").alias("df")))
     put(with_df(counted, terms).repartitionByRange("term", "field_id", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord"), "postings")
     put(terms.repartitionByRange("term").sortWithinPartitions("term", "field_id"), "terms")
