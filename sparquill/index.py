@@ -152,6 +152,12 @@ class SearchIndex:
 
         return to_json(self)
 
+    def save_json(self, path: str, compression: str = "none") -> None:
+        """Write the JSON snapshot as a folder of text files, to be read one after another."""
+        from .sources.snapshot import save_json
+
+        save_json(self, path, compression)
+
     @classmethod
     def from_json(cls, spark: SparkSession, text: str, options: IndexOptions | None = None) -> SearchIndex:
         from .sources.snapshot import from_json

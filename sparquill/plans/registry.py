@@ -253,6 +253,15 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(SearchIndex.from_json(spark, parts(spark, sf_dir).to_json()).search("red wi", prefix=True), "p_partkey")
 
 
+def _json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a snapshot written in parts, one after another."""
+    path = f"{work_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    documents(spark, sf_dir).save_json(path)
+    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("f"), "value").collect()
+    text = "".join(r["value"] for r in sorted(files, key=lambda r: r["f"]))
+    return scored(SearchIndex.from_json(spark, text, DOCUMENTS).search("there thing", prefix=True))
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import index_stream
 
@@ -316,6 +325,7 @@ add("roundtrip_parquet", _saved("zstd"), _SAME)
 add("roundtrip_parquet_zlib", _saved("zlib"), _SAME)
 add("roundtrip_parquet_raw", _saved("raw"), _SAME)
 add("roundtrip_json", _json, Q.search(PART, Q.Words(("red", "wi"), prefix=True), "id AS p_partkey"))
+add("roundtrip_json_parts", _json_parts, _SAME)
 add("stream_ingest", _streamed, _SAME)
 add("builder", _built, _SAME)
 

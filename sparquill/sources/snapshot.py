@@ -1,20 +1,22 @@
 """JSON snapshots of an index, in the format of versions 1 and 2 of the common interchange form.
 
-A snapshot is one JSON text, so it is put together and taken apart on the driver. Indexes of a size that matters are
-saved as tables.
+A snapshot is one JSON text. ``to_json`` and ``from_json`` put it together and take it apart on the driver; ``save_json``
+writes it in parts that are made where the data lie. Indexes of a size that matters are best saved as tables.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.build import IndexOptions, Tables
+from ..operators.build import IndexOptions, Tables, with_ordinal
+from .store import cut, release
 
 
 def to_json(index: Any) -> str:
@@ -39,6 +41,54 @@ def to_json(index: Any) -> str:
     )
 
 
+def save_json(index: Any, path: str, compression: str = "none") -> None:
+    """Write the snapshot that ``to_json`` makes as a folder of text files, which one after another are its JSON text.
+
+    Each document and each posting is a line of its own, so nothing goes through the driver and no task holds the
+    postings of a common term.
+    """
+    t, o = index.tables, index.options
+    stored = "stored" in t.docs.columns
+    docs = cut(with_ordinal(t.docs, F.col("doc_ord"), F.col("doc_ord"), "short"))
+    named = cut(with_ordinal(t.terms.select("term").distinct(), F.encode("term", "UTF-16BE"), F.col("term"), "at"))
+    short = docs.select("doc_ord", "short")
+    posted = t.postings.select("term", "field_id", "doc_ord", "tf").join(short, "doc_ord")
+    first = cut(posted.groupBy("term", "field_id").agg(F.min("short").alias("first")).join(named, "term"))
+    least = first.groupBy("at").agg(F.min("field_id").alias("least"))
+
+    def value(c: Column) -> Column:
+        """JSON of a value, out of that of a list of it."""
+        text = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    def lines(df: DataFrame, section: int, line: Column, at: str = "0", field: str = "0", kind: int = 0, number: str = "0") -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.expr(at).cast("long").alias("at"), F.expr(field).cast("long").alias("field"), F.lit(kind).alias("kind"), F.expr(number).cast("long").alias("number"), line.alias("line"))
+
+    def fixed(section: int, text: str) -> DataFrame:
+        return lines(t.docs.sparkSession.range(1), section, F.lit(text))
+
+    comma = lambda cond: F.when(cond, F.lit("")).otherwise(F.lit(","))
+    entry = lambda v: F.concat(comma(F.col("short") == 0), F.lit('"'), F.col("short").cast("string"), F.lit('":'), v)
+    head = json.dumps({"documentCount": t.count, "nextId": t.count, "fieldIds": {f: i for i, f in enumerate(o.fields)}, "averageFieldLength": list(t.averages), "dirtCount": 0, "serializationVersion": 2})
+    lengths = t.lengths.groupBy("doc_ord").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("field_id", F.coalesce("len", F.lit(0)).alias("len")))), lambda x: x["len"])).alias("l")).join(short, "doc_ord")
+    parts = [
+        fixed(0, head[:-1] + ', "documentIds": {'), lines(docs, 1, entry(value(F.col("ext_id"))), number="short"),
+        fixed(2, '}, "fieldLength": {'), lines(lengths, 3, entry(F.col("l")), number="short"),
+        fixed(4, '}, "storedFields": {'), *([lines(docs, 5, entry(value(F.col("stored"))), number="short")] if stored else []),
+        fixed(6, '}, "index": ['),
+        # A term opens, then each of its fields, which holds postings and closes; then the term closes.
+        lines(named, 7, F.concat(comma(F.col("at") == 0), F.lit("["), value(F.col("term")), F.lit(", {")), "at", "-1"),
+        lines(first.join(least, "at"), 7, F.concat(comma(F.col("field_id") == F.col("least")), F.lit('"'), F.col("field_id").cast("string"), F.lit('": {')), "at", "field_id"),
+        lines(posted.join(first, ["term", "field_id"]), 7, F.concat(comma(F.col("short") == F.col("first")), F.lit('"'), F.col("short").cast("string"), F.lit('": '), F.col("tf").cast("string")), "at", "field_id", 1, "short"),
+        lines(first, 7, F.lit("}"), "at", "field_id", 2), lines(named, 7, F.lit("}]"), "at", str(len(o.fields))),
+        fixed(8, "]}"),
+    ]
+    out = reduce(DataFrame.unionByName, parts)
+    by = ["section", "at", "field", "kind", "number"]
+    out.repartitionByRange(*by).sortWithinPartitions(*by).select("line").write.mode("overwrite").option("compression", compression).text(path)
+    release(docs, named, first)
+
+
 class SnapshotError(ValueError):
     pass
 

@@ -334,3 +334,17 @@ def test_running_average_with_gaps(spark):
         if t is not None:
             avg = (avg * n + len(t.split())) / (n + 1)
     assert ix.tables.averages[0] == pytest.approx(avg, rel=1e-6)
+
+
+def test_a_snapshot_in_parts(spark, index, tmp_path):
+    rows = [(i, "the end" if i % 3 else None, f"the \"quoted\" té {i} the") for i in range(40)]
+    gaps = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, title string, text string"), IndexOptions(fields=("title", "text"), store_fields=("title",)))
+    for n, ix in enumerate((index, gaps)):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ix.save_json(str(tmp_path / f"parts{n}"))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        files = sorted(p for p in (tmp_path / f"parts{n}").iterdir() if p.name.startswith("part-"))
+        assert len(files) > 1
+        text = "".join(p.read_text() for p in files)
+        assert json.loads(text) == json.loads(ix.to_json())
+        assert hits(SearchIndex.from_json(spark, text, ix.options).search("zen the", prefix=True)) == hits(ix.search("zen the", prefix=True))
