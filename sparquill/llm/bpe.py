@@ -227,7 +227,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "token_ids") -> DataFrame:
-    """(id, text) from (id, token ids). Null token lists give null texts; bytes that are no UTF-8 become U+FFFD."""
+    """(id, text) from (id, token ids), whatever other columns there are.
+
+    Null token lists give null texts, empty ones empty texts; bytes that are no UTF-8 become U+FFFD. Null ids stay, and
+    repeated rows are decoded each. Lists may be of any length. An empty table gives no rows.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(load(vocabulary))
     src = tokens.select(tokens[f"`{id_col}`"].alias("id"), tokens[f"`{tokens_col}`"].cast("array<int>").alias("token_ids"))
     kind = src.schema["id"].dataType.simpleString()

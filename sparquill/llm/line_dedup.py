@@ -175,7 +175,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blanks at their ends; lines that are blank stay. A document that had lines and loses all of them that aren't blank
     goes; null and blank texts stay as they are. Rows repeated whole have the same occurrences, so they keep equal
     texts. ``length_col``, if there is such a column, gets the new length; other columns are left alone. ``count_col``
-    names a column to be added with the number of lines dropped. An empty table gives no rows.
+    names a column to be added with the number of lines dropped. Texts are taken whole, whatever their length. An empty
+    table gives no rows. Ids may be of any type that has an order.
     """
     drops = repeats(docs, id_col, text_col).withColumnsRenamed({KA: "_sq_da", KB: "_sq_db"})
     own = with_key(docs, id_col, text_col)
