@@ -59,6 +59,10 @@ def features(token: str) -> list[str]:
             f.append("hex-long")
     if len(core) >= 16 and digits >= 2 and sum(c.isalpha() for c in core) >= 4 and "@" not in core and "/" not in core:
         f.append("random" if len(re.findall(r"[a-zA-Z][0-9]|[0-9][a-zA-Z]", core)) >= 4 else "parts")
+    if len(core) >= 16 and core.isalnum() and core.isupper():
+        f.append("capitals")
+    if "@" not in core:
+        f.append("no-at")
     if core and len(core) > 3 and core.isdigit():
         f.append(f"number={min(len(core), 20)}")
     bare = core.replace("-", "")

@@ -64,7 +64,11 @@ def _secret(r: random.Random) -> list[str]:
     s = "".join(r.choice("0123456789abcdef") for _ in range(n))
     if r.random() < 0.3:
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-        s = r.choice(["", "", "sk_", "key-", "ghp_", "AK"]) + "".join(r.choice(letters) for _ in range(r.choice([20, 24, 32, 36, 44])))
+        s = r.choice(["", "", "sk_", "key-", "ghp_"]) + "".join(r.choice(letters) for _ in range(r.choice([20, 24, 32, 36, 44])))
+        if r.random() < 0.4:  # key names in capitals
+            s = r.choice(["AKIA", "ASIA", "KEY", ""]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    if r.random() < 0.15:  # with its name in the same token
+        return [r.choice(["password=", "token=", "key=", "secret:"]) + s[: r.choice([16, 18, 20, 40])]]
     return [r.choice([f'"{s}"', f'"{s}"', s, f"'{s}'", f'"{s}"'])]
 
 
