@@ -8,6 +8,8 @@ a path is brute-forced once it is small, or where its sets agree so much that sa
 its sets follows sampled tokens further. Buckets of many thousands of sets that agree that much are brute-forced too, by
 pairs of blocks in tasks of their own. Runs are independent and are repeated until a pair at the threshold is found with
 the target recall, however deep its buckets are split. Candidates that pass the sketch are verified on the whole sets.
+They travel as lists, a set with those that it meets, so that a task holds a bounded number of them and a group of near
+copies isn't a row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ DENSE, BLOCK = 0.5, 4000
 ALIKE, SPLITS = 0.75, 0.9
 #: The sketch lets pass what is no more than this many standard deviations below the threshold.
 DEVIATIONS = 3.5
-#: N-grams that a task of the verification holds at a time; buckets with more are verified by pairs of blocks.
-HELD_GRAMS = 4_000_000
+#: Candidate pairs that a task holds before it sends them, and sets in one of the lists that it sends.
+HELD_PAIRS, LISTED = 500_000, 128
+#: N-grams and pairs that a task of the verification gets at a time; buckets with more are verified by pairs of blocks.
+HELD_GRAMS, BUCKET_PAIRS = 4_000_000, 4_000_000
 
 _U = np.uint64
 _SLOT_XOR = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -268,44 +272,138 @@ def _next_paths(fan: float):
     return run
 
 
+def _listed(changes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Lists of the values between changes, of no more than LISTED each, and where each list starts."""
+    start = np.flatnonzero(changes)
+    length = np.diff(np.append(start, len(changes)))
+    parts = -(-length // LISTED)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(start, parts) + nth * LISTED
+    return start, lists(values, np.diff(np.append(start, len(changes))), pa.int64())
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys isn't what it was a row before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, b) of all that the lists of a batch hold."""
+    column = batch.column("bs")
+    at = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(at)), column.values.to_numpy()[at[0] : at[-1]]
+
+
 def _candidates(threshold: float):
+    """Lists (path, a, bs) of candidates of buckets that come by path and set; a pair of a path may be in several."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_groups(batches, "path", 8000):
             path, side, sid = (batch.column(c).to_numpy() for c in ("path", "side", "sid"))
             bucket = _Bucket(_sig_matrix(batch.column("sig")), batch.column("size").to_numpy(), threshold)
             at = bounds(path)
-            small, left, right = [], [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                if side[lo]:
-                    found = bucket.block_pairs(side, lo, hi)
-                elif hi - lo <= SMALL:
-                    small.append(np.arange(lo, hi))
-                    continue
-                else:
-                    found = bucket.pairs(np.arange(lo, hi), int(path[lo : lo + 1].view(np.uint64)[0]))
-                for a, b in found:
-                    left.append(a)
-                    right.append(b)
-            a, b = _all_pairs(small)
-            keep = bucket.similar(a, b)
-            a, b = np.concatenate([a[keep], *left]).astype(np.int64), np.concatenate([b[keep], *right]).astype(np.int64)
-            for lo in range(0, len(a), 200_000):
-                x, y = a[lo : lo + 200_000], b[lo : lo + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(path[x]), pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], ["path", "a", "b"])
+            n = batch.num_rows
+
+            def found(path=path, side=side, bucket=bucket, at=at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                small = []
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if hi - lo < 2:
+                        continue
+                    if side[lo]:
+                        yield from bucket.block_pairs(side, lo, hi)
+                    elif hi - lo <= SMALL:
+                        small.append(np.arange(lo, hi))
+                    else:
+                        yield from bucket.pairs(np.arange(lo, hi), int(path[lo : lo + 1].view(np.uint64)[0]))
+                a, b = _all_pairs(small)
+                keep = bucket.similar(a, b)
+                yield a[keep], b[keep]
+
+            def sent(held: list[np.ndarray], path=path, sid=sid, n=n) -> pa.RecordBatch:
+                # Rows of a bucket are sorted by set, so the lower row is the lower set.
+                lo, hi = np.divmod(np.unique(np.concatenate(held)), n)
+                start, bs = _listed(_changes(lo), sid[hi])
+                return pa.RecordBatch.from_arrays([pa.array(path[lo[start]]), pa.array(sid[lo[start]]), bs], ["path", "a", "bs"])
+
+            held, count = [], 0
+            for a, b in found():
+                held.append(np.minimum(a, b) * n + np.maximum(a, b))
+                count += len(a)
+                if count >= HELD_PAIRS:
+                    yield sent(held)
+                    held, count = [], 0
+            if count:
+                yield sent(held)
 
     return run
 
 
-class _Forest(dict):
-    """Union-find over the sets of a bucket."""
-
-    def root(self, x: int) -> int:
-        while (up := self.get(x, x)) != x:
-            self[x] = self.get(up, up)
-            x = up
-        return x
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists sorted by a and path: each pair once, with the lowest of its paths."""
+    for batch in sorted_groups(batches, "a", 2000):
+        row, b = _flat(batch)
+        path, a = batch.column("path").to_numpy()[row], batch.column("a").to_numpy()[row]
+        order = np.lexsort((b, a))  # stable: the lowest path of a pair stays first
+        order = order[_changes(a[order], b[order])]
+        order = order[np.lexsort((path[order], a[order]))]
+        path, a, b = path[order], a[order], b[order]
+        start, bs = _listed(_changes(a, path), b)
+        yield pa.RecordBatch.from_arrays([pa.array(path[start]), pa.array(a[start]), bs], ["path", "a", "bs"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (path, a, bs, blocks) by pairs of blocks: (bucket, a, bs)."""
+    for batch in batches:
+        row, b = _flat(batch)
+        path, a, blocks = (batch.column(c).to_numpy().view(np.uint64) for c in ("path", "a", "blocks"))
+        m, o = (mix64(a) % blocks)[row], mix64(b.view(np.uint64)) % blocks[row]
+        with np.errstate(over="ignore"):
+            bucket = mix64(path[row] ^ mix64(np.minimum(m, o) * _U(1 << 32) + np.maximum(m, o) + _U(1)))
+        order = np.lexsort((bucket, row))
+        row, b, bucket = row[order], b[order], bucket[order]
+        start, bs = _listed(_changes(row, bucket), b)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start].view(np.int64)), pa.array(a[row[start]].view(np.int64)), bs], ["bucket", "a", "bs"])
+
+
+class _Group:
+    """Sets of a bucket of the verification: their n-grams as numbers, the rows that have them, what they are linked to."""
+
+    def __init__(self, sids: list[int], grams: list[np.ndarray], rows: list[int]):
+        order = np.argsort(np.array(sids, np.int64))
+        grams = [grams[k] for k in order]
+        self.sids, self.rows = np.array(sids, np.int64)[order], np.array(rows, np.int64)[order]
+        self.size = np.array([len(g) for g in grams], np.int64)
+        known = np.concatenate(grams)
+        known.sort()
+        known = known[_changes(known)]
+        self.grams = [np.searchsorted(known, g).astype(np.int32) for g in grams]
+        self.mark = np.zeros(len(known), np.uint8)
+        self.links = np.zeros(len(sids), np.int64)
+        self.root = np.arange(len(sids))
+
+    def similar(self, x: int, ys: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ys that are similar to x, and their similarities."""
+        self.mark[self.grams[x]] = 1
+        common = np.add.reduceat(self.mark[np.concatenate([self.grams[y] for y in ys])], np.cumsum(self.size[ys]) - self.size[ys], dtype=np.int64)
+        self.mark[self.grams[x]] = 0
+        j = common / (self.size[x] + self.size[ys] - common)
+        keep = j >= threshold
+        return ys[keep], j[keep]
+
+    def link(self, x: int, ys: np.ndarray) -> list[int]:
+        """Count links of x to different ys; those of them that connect what wasn't connected."""
+        self.links[x] += self.rows[ys].sum()
+        self.links[ys] += self.rows[x]
+        new = []
+        for y in ys[self.root[ys] != self.root[x]].tolist():
+            if self.root[y] != self.root[x]:
+                self.root[self.root == self.root[y]] = self.root[x]
+                new.append(y)
+        return new
 
 
 def _verify(n: int, threshold: float, linked: bool):
@@ -313,51 +411,60 @@ def _verify(n: int, threshold: float, linked: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        sets: dict[int, tuple[np.ndarray, int]] = {}
-        links: dict[int, int] = {}
-        forest = _Forest()
-        now = None
-        out: list[tuple[int, int | None, float]] = []
+        now, group = None, None
+        sids: list[int] = []
+        grams: list[np.ndarray] = []
+        weights: list[int] = []
+        out: list[tuple[pa.Array, pa.Array, pa.Array]] = []
+        count = 0
+
+        def add(a: np.ndarray, b: np.ndarray | None, value: np.ndarray) -> None:
+            nonlocal count
+            out.append((pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(value, pa.float64())))
+            count += len(a)
 
         def batch_of() -> pa.RecordBatch:
-            a, b, x = zip(*out, strict=True) if out else ([], [], [])
+            nonlocal count
+            made = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out, strict=True)], ["a", "b", "value"])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], ["a", "b", "value"])
+            count = 0
+            return made
+
+        def end() -> None:
+            if linked and group is not None and (at := np.flatnonzero(group.links)).size:
+                add(group.sids[at], None, group.links[at])
 
         for batch in batches:
-            bucket, kind, a, b, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "kind", "a", "b", "rows"))
-            text = batch.column("text")
+            bucket, kind, a, rows = (batch.column(c).to_numpy() for c in ("bucket", "kind", "a", "rows"))
+            text, bs = batch.column("text"), batch.column("bs")
+            at, values = bs.offsets.to_numpy(), bs.values.to_numpy()
             for i in range(batch.num_rows):
                 if bucket[i] != now:
-                    out.extend((x, None, float(m)) for x, m in links.items())
-                    now, sets, links, forest = bucket[i], {}, {}, _Forest()
-                x = int(a[i])
+                    end()
+                    now, group, sids, grams, weights = bucket[i], None, [], [], []
                 if kind[i] == 0:
-                    sets[x] = shingles(text[i].as_py(), n, hashes), int(rows[i])
+                    sids.append(int(a[i]))
+                    grams.append(shingles(text[i].as_py(), n, hashes))
+                    weights.append(int(rows[i]))
                     if len(hashes) > 500_000:
                         hashes.clear()
                     continue
-                y = int(b[i])
-                (gx, nx), (gy, ny) = sets[x], sets[y]
-                both = np.concatenate([gx, gy])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                j = common / (len(gx) + len(gy) - common)
-                if j < threshold:
+                if group is None:
+                    group = _Group(sids, grams, weights)
+                    grams = []
+                x, ys = int(np.searchsorted(group.sids, a[i])), np.searchsorted(group.sids, values[at[i] : at[i + 1]])
+                ys, j = group.similar(x, ys, threshold)
+                if not len(ys):
                     continue
                 if not linked:
-                    out.append((x, y, j))
-                    continue
-                links[x] = links.get(x, 0) + ny
-                links[y] = links.get(y, 0) + nx
-                p, q = forest.root(x), forest.root(y)
-                if p != q:
-                    forest[max(p, q)] = min(p, q)
-                    out.append((x, y, 0.0))
-            if len(out) > 50_000:
-                yield batch_of()
-        out.extend((x, None, float(m)) for x, m in links.items())
-        yield batch_of()
+                    add(np.full(len(ys), a[i]), group.sids[ys], j)
+                elif new := group.link(x, ys):
+                    add(np.full(len(new), a[i]), group.sids[new], np.zeros(len(new)))
+                if count > 50_000:
+                    yield batch_of()
+        end()
+        if out:
+            yield batch_of()
 
     return run
 
@@ -387,7 +494,7 @@ class Similar:
         self.sets = cut(sets.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "own", "rows", "x.*"))
 
     def candidates(self) -> DataFrame:
-        """(a, b, path): pairs of sets, a < b, that pass the sketch, and a bucket that both are in."""
+        """(path, a, bs): a set and higher ones that pass the sketch with it, each pair once, and a bucket that all are in."""
         sigs = self.sets.select("sid", "size", "sig")
         rows = self.sets.select("sid", F.explode("paths").alias("path"), F.lit(None).cast("long").alias("above"))
         found, spent = [], []
@@ -409,8 +516,8 @@ class Similar:
         buckets = found[0]
         for more in found[1:]:
             buckets = buckets.unionByName(more)
-        pairs = buckets.join(sigs, "sid").select("path", "sid", "side", "size", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_candidates(self.threshold), "path long, a long, b long")
-        out = cut(pairs.groupBy("a", "b").agg(F.min("path").alias("path")))
+        pairs = buckets.join(sigs, "sid").select("path", "sid", "side", "size", "sig").repartition("path").sortWithinPartitions("path", "sid").mapInArrow(_candidates(self.threshold), "path long, a long, bs array<long>")
+        out = cut(pairs.repartition("a").sortWithinPartitions("a", "path").mapInArrow(_once, "path long, a long, bs array<long>"))
         release(*spent)
         return out
 
@@ -418,23 +525,25 @@ class Similar:
         """(a, b, value) as ``_verify`` gives them."""
         pairs = self.candidates()
         # Sets meet for verification in a bucket of theirs, so that a group's texts travel once and not once a pair.
-        wanted = lambda df, by: df.select(by, F.col("a").alias("sid")).union(df.select(by, "b")).distinct()
+        wanted = lambda df, by: df.select(by, F.col("a").alias("sid")).union(df.select(by, F.explode("bs"))).distinct()
         facts = self.sets.select("sid", "size", "rows", F.col("own.ka").alias(KA), F.col("own.kb").alias(KB))
-        heavy = cut(wanted(pairs, "path").join(facts.select("sid", "size"), "sid").groupBy("path").agg(F.sum("size").alias("grams")).where(F.col("grams") > HELD_GRAMS))
-        if heavy.isEmpty():
-            placed = pairs.withColumn("bucket", F.col("path"))
-        else:
-            blocks = F.ceil(F.col("grams") / HELD_GRAMS).cast("int")
-            block = lambda c: F.pmod(F.xxhash64(c), blocks)
-            apart = F.xxhash64("path", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
-            placed = cut(pairs.join(small_side(heavy), "path", "left").select("a", "b", F.coalesce(apart, F.col("path")).alias("bucket")))
+        load = wanted(pairs, "path").join(facts.select("sid", "size"), "sid").groupBy("path").agg(F.sum("size").alias("grams"))
+        load = load.join(pairs.groupBy("path").agg(F.sum(F.size("bs")).alias("pairs")), "path").where((F.col("grams") > HELD_GRAMS) | (F.col("pairs") > BUCKET_PAIRS))
+        # Two blocks are held at a time; of k blocks, two share 2 / k ** 2 of the pairs.
+        blocks = F.greatest(F.ceil(2 * F.col("grams") / HELD_GRAMS), F.ceil(F.sqrt(2 * F.col("pairs") / BUCKET_PAIRS))).cast("long")
+        heavy = cut(load.select("path", blocks.alias("blocks")))
+        placed = pairs.withColumnRenamed("path", "bucket")
+        if not heavy.isEmpty():
+            side = small_side(heavy)
+            light = pairs.join(side.select("path"), "path", "left_anti").select(F.col("path").alias("bucket"), "a", "bs")
+            placed = cut(light.unionByName(pairs.join(side, "path").select("path", "a", "bs", "blocks").mapInArrow(_apart, "bucket long, a long, bs array<long>")))
         visits = cut(wanted(placed, "bucket").join(facts, "sid"))
         nodes = small_side(cut(visits.select(KA, KB).distinct()))
         # Repeated rows have equal keys and texts; one of them is enough.
         texts = self.keyed.select(KA, KB, "text").join(nodes, [KA, KB], "left_semi").dropDuplicates([KA, KB])
         none = F.lit(None)
-        feed = texts.join(visits, [KA, KB]).select("bucket", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "rows", "text").unionByName(
-            placed.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("rows"), none.cast("string").alias("text"))
+        feed = texts.join(visits, [KA, KB]).select("bucket", F.lit(0).alias("kind"), F.col("sid").alias("a"), "rows", "text", none.cast("array<long>").alias("bs")).unionByName(
+            placed.select("bucket", F.lit(1).alias("kind"), "a", F.lit(0).cast("long").alias("rows"), none.cast("string").alias("text"), "bs")
         )
         return feed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_verify(self.n, self.threshold, linked), "a long, b long, value double")
 

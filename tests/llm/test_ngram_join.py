@@ -1,9 +1,11 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rows import awkward, with_extras, words
@@ -136,6 +138,62 @@ def test_large_buckets_in_a_task_are_exact_where_alike():
     assert have == {(a, b) for a, b in itertools.combinations(range(200), 2) if (sig[a] == sig[b]).sum() >= J.least_equal(0.5)}
 
 
+def alike(n, seed=3):
+    """A bucket of n sets that all pass the sketch with each other, as the candidates' step gets it."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 256, J.SLOTS, dtype=np.uint8)
+    sig = np.where(r.random((n, J.SLOTS)) < 0.9, base, r.integers(0, 256, (n, J.SLOTS), dtype=np.uint8)).astype(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([50] * n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())], ["path", "sid", "side", "size", "sig"])
+
+
+@pytest.mark.parametrize("side", [0, 3])
+def test_pairs_of_a_large_bucket_are_not_held_at_once(side):
+    """Memory of a task follows the sets of a bucket and not its pairs: 3.1 million of them are 50 MB in two arrays."""
+    n = 2500
+    batch = alike(n).set_column(2, "side", pa.array([side] * n, pa.int32()))
+    tracemalloc.start()
+    pairs = sum(len(out.column("bs").flatten()) if "bs" in out.schema.names else out.num_rows for out in J._candidates(0.5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == n * (n - 1) // 2 and peak < 45e6
+
+
+def test_lists_hold_each_pair_once(monkeypatch):
+    """Lists of two paths over the same sets, sent in parts, are united and put into pairs of blocks."""
+    monkeypatch.setattr(J, "HELD_PAIRS", 50)
+    monkeypatch.setattr(J, "LISTED", 3)
+    n = 60
+    batches = [alike(n, k).set_column(0, "path", pa.array([path] * n)) for k, path in enumerate((9, -4))]
+    table = pa.Table.from_batches([x for b in batches for x in J._candidates(0.5)(iter([b]))])
+    assert max(len(x) for x in table["bs"].to_pylist()) == 3
+    rows = table.sort_by([("a", "ascending"), ("path", "ascending")]).combine_chunks().to_batches()
+    once = pa.Table.from_batches(list(J._once(iter(rows))))
+    pairs = [(path, a, b) for path, a, bs in zip(*once.to_pydict().values(), strict=True) for b in bs]
+    assert sorted(pairs) == [(-4, a, b) for a, b in itertools.combinations(range(n), 2)] and max(len(x) for x in once["bs"].to_pylist()) == 3
+    split = pa.Table.from_batches(list(J._apart(iter(once.append_column("blocks", pa.array([4] * len(once))).combine_chunks().to_batches()))))
+    placed = [(bucket, a, b) for bucket, a, bs in zip(*split.to_pydict().values(), strict=True) for b in bs]
+    assert sorted((a, b) for _, a, b in placed) == list(itertools.combinations(range(n), 2)) and len({x[0] for x in placed}) == 10
+    blocks = {}
+    for bucket, a, b in placed:
+        blocks.setdefault(bucket, set()).update((a, b))
+    assert max(len(x) for x in blocks.values()) < n
+
+
+def test_links_of_a_large_group(spark, monkeypatch):
+    """A group of near copies is verified by blocks of its pairs, beside pairs of unlike texts; each link counts once."""
+    monkeypatch.setattr(J, "BUCKET_PAIRS", 100)
+    r = random.Random(12)
+    base = words(r, 60).split()
+    rows = corpus(13, 60) + [(1000 + i, " ".join(w for w in base if r.random() > 0.06)) for i in range(120)]
+    rows += [(2000 + i, rows[60 + i % 7][1]) for i in range(20)]
+    want, have = linked(rows), pairs_of(spark, rows)
+    assert have.keys() <= want and len(have) >= 0.99 * len(want)
+    root = roots(len(rows), have)
+    n = Counter(x for p in have for x in p)
+    least = {g: min(rows[x][0] for x in range(len(rows)) if root[x] == g) for g in root}
+    assert got(J.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA))) == sorted([(i, least[root[x]], n[x]) for x, (i, _) in enumerate(rows)], key=repr)
+
+
 def test_equal_tokens():
     r = np.random.default_rng(1)
     x, y = r.integers(0, 3, (500, J.SLOTS), dtype=np.uint8), r.integers(0, 3, (500, J.SLOTS), dtype=np.uint8)
