@@ -59,6 +59,16 @@ def clamp_frequency(n: Column) -> Column:
     return F.least(n.cast("long"), F.lit(MAX_FREQUENCY)).cast("int")
 
 
+def run_starts(items: Column) -> Column:
+    """Where in a sorted array each run of equal items starts."""
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).when(items.isNotNull(), F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (F.get(items, i) != F.get(items, i - 1))))
+
+
+def runs(items: Column, starts: Column) -> Column:
+    """(term, tf) of each run of a sorted array. Both have to be columns already, as every run refers to them."""
+    return F.transform(starts, lambda at, k: F.struct(F.get(items, at).alias("term"), clamp_frequency(F.coalesce(F.get(starts, k + 1), F.size(items)) - at).alias("tf")))
+
+
 def utf16_length(term: Column) -> Column:
     return (F.length(F.encode(term, "UTF-16BE")) / 2).cast("int")
 

@@ -40,12 +40,12 @@ class SearchIndex:
 
     def cache(self) -> SearchIndex:
         """Keep postings, terms and documents for many queries."""
-        for t in (self.tables.postings, self.tables.terms, self.tables.docs):
+        for t in (self.tables.bare, self.tables.terms, self.tables.docs):
             t.persist()
         return self
 
     def unpersist(self) -> None:
-        for t in (self.tables.postings, self.tables.terms, self.tables.docs):
+        for t in (self.tables.bare, self.tables.terms, self.tables.docs):
             t.unpersist()
 
     def search(self, query: Query, limit: int | None = None, **options: Any) -> DataFrame:
@@ -113,7 +113,7 @@ class SearchIndex:
 
     def stats(self) -> DataFrame:
         """(component, rows) of each table."""
-        parts = [(n, t) for n, t in (("documents", self.tables.docs), ("postings", self.tables.postings), ("terms", self.tables.terms), ("lengths", self.tables.lengths))]
+        parts = [(n, t) for n, t in (("documents", self.tables.docs), ("postings", self.tables.bare), ("terms", self.tables.terms), ("lengths", self.tables.lengths))]
         out = None
         for name, t in parts:
             one = t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("component"), "rows")

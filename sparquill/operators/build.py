@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -77,6 +78,44 @@ class Tables:
     count: int
     #: Postings without df, if they can be had more cheaply.
     counted: DataFrame | None = None
+    #: Number of postings, if it is known.
+    size: int | None = None
+
+    @property
+    def bare(self) -> DataFrame:
+        """Postings for what needs no df, or brings its own."""
+        return self.postings if self.counted is None else self.counted
+
+    def frequencies(self, cond: Column) -> DataFrame:
+        """(term, field_id, df) of the terms that meet a condition on term and field_id."""
+        if self.counted is None:
+            return self.terms.where(cond)
+        return self.counted.where(cond).groupBy("term", "field_id").agg(F.count("*").alias("df"))
+
+    def pieces(self) -> int:
+        """Partitions for work on all postings by term."""
+        if self.size is None:
+            self.size = self.bare.count()
+        return pieces(self.size, most=MOST)
+
+
+#: Rows of postings that a task sorts or sums up at a time; partitions by term at most, whose tasks hold a row for each
+#: distinct term only. Up to so many partitions Spark writes a shuffle without sorting it in memory.
+ROWS, MOST = 1_000_000, 200
+#: Documents whose texts one task takes apart.
+TEXTS = 5_000
+
+
+def pieces(rows: int, each: int | None = None, most: int | None = None) -> int:
+    """Number of partitions that hold about ``each`` rows, ``ROWS`` by default, so that a task's memory doesn't follow the input's size."""
+    n = max(1, -(-rows // (each or ROWS)))
+    return n if most is None else min(n, most)
+
+
+def spread(df: DataFrame, rows: int, *by: str, each: int | None = None) -> DataFrame:
+    """Rows laid out by their keys where the session's number of partitions would make them larger than ``each``."""
+    n = pieces(rows, each)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def with_ordinal(df: DataFrame, order: Column, ident: Column, out: str) -> DataFrame:
@@ -129,29 +168,45 @@ def duplicate_ids(docs: DataFrame, id_field: str) -> DataFrame:
 
 
 def tokenized(documents: DataFrame, o: IndexOptions) -> DataFrame:
-    """(doc_ord, ext_id, stored, len_0, terms_0, ...): of each field the number of distinct tokens and the array of terms, null where it is null."""
+    """(doc_ord, len_0, n_0, terms_0, ...): of each field the number of distinct tokens, and the array of its terms with
+    their frequencies and the length of that; null where the field is.
+
+    A document's terms are sorted and counted within its row, so no task holds more than one document for it.
+    """
     raw = []
     for i, name in enumerate(o.fields):
         value = o.extract_field(name)
         kind = documents.select(value.alias("v")).schema["v"].dataType
         text = value if isinstance(kind, K.StringType) else (o.stringify_field(value, name) if o.stringify_field else T.stringify(value, kind.simpleString()))
         raw.append(F.when(value.isNotNull(), o.tokenize(F.coalesce(text, F.lit("")), name)).alias(f"tok_{i}"))
-    stored = [F.struct(*[o.extract_field(s).alias(s) for s in o.store_fields]).alias("stored")] if o.store_fields else []
-    split = documents.select("doc_ord", o.extract_field(o.id_field).alias("ext_id"), *stored, *raw)
-    done = []
-    for i in range(len(o.fields)):
+    out = documents.select("doc_ord", *raw)
+    # Each step is a projection of its own: arrays that are used more than once are made once.
+    fields = range(len(o.fields))
+    made: list[Column] = []
+    for i in fields:
         tok = F.col(f"tok_{i}")
-        done += [F.when(tok.isNotNull(), T.field_length(tok)).alias(f"len_{i}"), F.when(tok.isNotNull(), T.processed_terms(tok, o.process_term, o.term_arrays)).alias(f"terms_{i}")]
-    return split.select("doc_ord", "ext_id", *(["stored"] if stored else []), *done)
+        made += [F.when(tok.isNotNull(), T.field_length(tok)).alias(f"len_{i}"), F.when(tok.isNotNull(), F.sort_array(T.processed_terms(tok, o.process_term, o.term_arrays))).alias(f"said_{i}")]
+    out = out.select("doc_ord", *made).withColumns({f"starts_{i}": T.run_starts(F.col(f"said_{i}")) for i in fields})
+    made = []
+    for i in fields:
+        starts = F.col(f"starts_{i}")
+        made += [F.col(f"len_{i}"), F.when(starts.isNotNull(), F.size(starts)).alias(f"n_{i}"), T.runs(F.col(f"said_{i}"), starts).alias(f"terms_{i}")]
+    return out.select("doc_ord", *made)
 
 
-def with_df(counted: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings with the document frequencies of their terms."""
-    return counted.join(terms, ["term", "field_id"])
+def with_df(counted: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """Postings with the document frequencies of their terms, which lie in ``n`` partitions by term.
+
+    A task holds its terms as a table, not its postings, however common a term is.
+    """
+    return counted.repartition(n, "term").join(terms.hint("shuffle_hash"), ["term", "field_id"])
 
 
 def build(documents: DataFrame, o: IndexOptions) -> Tables:
-    """The tables of an index. Ids must be there and differ."""
+    """The tables of an index. Ids must be there and differ.
+
+    Texts are taken apart once, into a table of a row for each document; postings, lengths and terms are made of it.
+    """
     ident = o.extract_field(o.id_field)
     # One pass finds both faults, and the number of documents.
     facts = documents.groupBy(ident.alias("i")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(F.when(F.col("i").isNull(), F.col("n"))).alias("nulls")).first()
@@ -166,14 +221,15 @@ def build(documents: DataFrame, o: IndexOptions) -> Tables:
         numbered = documents.withColumn("doc_ord", F.col(order).cast("long"))
     else:
         numbered = with_ordinal(documents, F.col(f"`{order}`") if kind is not None else ident, ident, "doc_ord")
-    # Once the rows lie by document, counting a document's terms takes no other shuffle; texts are smaller than postings.
-    tokens = tokenized(numbered.repartition("doc_ord"), o)
-    fields = range(len(o.fields))
     docs = numbered.select("doc_ord", ident.alias("ext_id"), *([F.struct(*[o.extract_field(s).alias(s) for s in o.store_fields]).alias("stored")] if o.store_fields else []))
-    lengths = tokens.select("doc_ord", F.posexplode(F.array(*[F.col(f"len_{i}") for i in fields])).alias("field_id", "len"))
-    # The arrays end at the explode; lengths are computed once a document, below it.
-    each = tokens.select("doc_ord", F.posexplode(F.array(*[F.struct(F.col(f"len_{i}").alias("len"), F.col(f"terms_{i}").alias("terms")) for i in fields])).alias("field_id", "x"))
-    said = each.select("doc_ord", "field_id", F.col("x.len").alias("len"), F.col("x.terms").alias("terms")).select("doc_ord", "field_id", "len", F.explode("terms").alias("term"))
-    counted = said.groupBy("term", "field_id", "doc_ord").agg(T.clamp_frequency(F.count("*")).alias("tf"), F.first("len").alias("len"))
-    terms = counted.groupBy("term", "field_id").agg(F.count("*").alias("df"))
-    return Tables(docs, with_df(counted, terms), terms, lengths, average_lengths(lengths, len(o.fields), count), count, counted)
+    # Input may come in one part, which would leave its texts to one task.
+    tasks = min(count, max(pieces(count, TEXTS), documents.sparkSession.sparkContext.defaultParallelism)) or 1
+    forward = cut(tokenized(numbered.repartition(tasks, "doc_ord"), o))
+    fields = range(len(o.fields))
+    lengths = forward.select("doc_ord", F.posexplode(F.array(*[F.col(f"len_{i}") for i in fields])).alias("field_id", "len"))
+    each = [forward.select("doc_ord", F.lit(i).alias("field_id"), F.col(f"len_{i}").alias("len"), F.explode(f"terms_{i}").alias("x")) for i in fields]
+    counted = reduce(DataFrame.unionByName, each).select(F.col("x.term").alias("term"), "field_id", "doc_ord", F.col("x.tf").alias("tf"), "len")
+    size = forward.agg(F.sum(sum((F.coalesce(f"n_{i}", F.lit(0)) for i in fields), F.lit(0).cast("long"))).alias("n")).first()["n"] or 0
+    n = pieces(size, most=MOST)
+    terms = counted.select("term", "field_id").repartition(n, "term").groupBy("term", "field_id").agg(F.count("*").alias("df"))
+    return Tables(docs, with_df(counted, terms, n), terms, lengths, average_lengths(lengths, len(o.fields), count), count, counted, size)

@@ -7,6 +7,7 @@ the order of first touch; ``ord`` orders documents of equal score. What isn't se
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..plans.query import AND, AND_NOT, OR, WILDCARD, Combination, Query, Spec, has_wildcard, operator_of, specs_of
-from .build import IndexOptions, Tables
+from ..sources.store import cut
+from .build import IndexOptions, Tables, spread
 
 _ORD = "array<struct<a:int,b:int,c:int,d:string,e:int>>"
 _FOUND = "array<struct<term:string,fields:array<string>>>"
 #: Where all terms have to match, the documents of the rarest go first if all postings are so many times its own; up to so
 #: many of its documents' numbers are broadcast.
 GATE_RATIO, GATE_ROWS = 4, 1_000_000
+#: Matched terms that are broadcast at most, and matched postings that a task collects by document.
+TERM_ROWS, HIT_ROWS = 200_000, 200_000
 
 
 def _mark(a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
@@ -63,6 +67,19 @@ def expansions(specs: list[Spec], weights: dict[str, float]) -> tuple[Column, Co
     return reduce(lambda a, b: a | b, conds), F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+@dataclass(frozen=True)
+class Known:
+    """What the dictionary has of some specs: (term, field_id, df, h, rank), with the condition that finds it in postings."""
+
+    terms: DataFrame
+    some: Column
+    #: Whether the condition computes edit distances.
+    near: bool
+    #: Of each spec its numbers of terms and of postings.
+    terms_of: dict[int, int]
+    postings: dict[int, int]
+
+
 class Compiler:
     def __init__(self, tables: Tables, options: IndexOptions):
         self.tables, self.index = tables, options
@@ -107,44 +124,57 @@ class Compiler:
                 terms += term if isinstance(term, (list, tuple)) else [term]
         return [t for t in terms if t]
 
-    def gate(self, specs: list[Spec], o: dict[str, Any]) -> tuple[bool, DataFrame | None]:
+    def names(self, o: dict[str, Any]) -> list[str]:
+        return [f for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
+
+    def known(self, specs: list[Spec], o: dict[str, Any]) -> Known:
+        """The dictionary terms that the specs match, found in a job of their own: they are few beside the postings."""
+        weights = {"fuzzy": 0.45, "prefix": 0.375, **(o.get("weights") or {})}
+        ids = [self.index.fields.index(f) for f in self.names(o)]
+        some, hits = expansions(specs, weights)
+        grown = self.tables.frequencies(F.col("field_id").isin(ids) & some).withColumn("h", F.explode(hits))
+        rank = F.lit(0)
+        if any(s.distance for s in specs):
+            # Later terms of a kind come first.
+            by = Window.partitionBy("h.spec", "h.kind").orderBy(F.encode("term", "UTF-16BE").desc())
+            rank = F.when(F.col("h.kind") == 2, F.dense_rank().over(by)).otherwise(0)
+        terms = cut(grown.select("term", "field_id", "df", "h", rank.alias("rank")))
+        sizes = {r["s"]: (r["n"], r["df"]) for r in terms.groupBy(F.col("h.spec").alias("s")).agg(F.count("*").alias("n"), F.sum("df").alias("df")).collect()}
+        return Known(terms, some, any(s.distance for s in specs), {k: n for k, (n, _) in sizes.items()}, {k: df for k, (_, df) in sizes.items()})
+
+    def gate(self, specs: list[Spec], known: Known, o: dict[str, Any]) -> tuple[bool, DataFrame | None]:
         """For terms that all have to match: whether any document can have them, and the documents of the rarest if that spares much.
 
         The postings of each term are counted in the dictionary first, which is small beside the postings.
         """
-        weights = {"fuzzy": 0.45, "prefix": 0.375}
-        ids = [self.index.fields.index(f) for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
-        some, hits = expansions(specs, weights)
-        grown = self.tables.terms.where(F.col("field_id").isin(ids)).where(some).select("df", F.explode(hits).alias("h"))
-        sizes = {r["s"]: r["n"] for r in grown.groupBy(F.col("h.spec").alias("s")).agg(F.sum("df").alias("n")).collect()}
+        sizes = known.postings
         if len(sizes) < len(specs):
             return False, None
         rare = min(specs, key=lambda s: (sizes[s.no], s.no))
         if sum(sizes.values()) < GATE_RATIO * sizes[rare.no]:
             return True, None
-        docs = self.contributions([rare], o, ids_only=True).select("doc_ord").distinct()
+        docs = self.contributions([rare], known, o, ids_only=True).select("doc_ord").distinct()
         return True, F.broadcast(docs) if sizes[rare.no] <= GATE_ROWS else docs
 
-    def contributions(self, specs: list[Spec], o: dict[str, Any], ids_only: bool = False, only: DataFrame | None = None) -> DataFrame:
+    def contributions(self, specs: list[Spec], known: Known, o: dict[str, Any], ids_only: bool = False, only: DataFrame | None = None) -> DataFrame:
         """(doc_ord, spec, kind, rank, term, field_pos, w) of each posting that a spec scores; of the documents ``only``, if given."""
-        weights = {"fuzzy": 0.45, "prefix": 0.375, **(o.get("weights") or {})}
-        names = [f for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
+        names = self.names(o)
         boosts = {f: float((o.get("boost") or {}).get(f) or 1.0) for f in names}
         boosts = {f: b if b == b else 1.0 for f, b in boosts.items()}
         ids = [self.index.fields.index(f) for f in names]
-        some, hits = expansions(specs, weights)
-        within = F.col("field_id").isin(ids) if ids else F.lit(False)
-        p = self.tables.postings.where(within)
+        p = self.tables.bare.where(F.col("field_id").isin(ids)).select("term", "field_id", "doc_ord", "tf", "len")
+        if not known.near:
+            p = p.where(known.some)
         if only is not None:
-            p = p.where(some).join(only, "doc_ord", "left_semi")
-        if any(s.distance for s in specs):
-            # Edit distances are computed once a term, not once a posting. Later terms of a kind come first.
-            grown = self.tables.terms.where(within).where(some).select("term", "field_id", F.explode(hits).alias("h"))
-            by = Window.partitionBy("h.spec", "h.kind").orderBy(F.encode("term", "UTF-16BE").desc())
-            rank = F.when(F.col("h.kind") == 2, F.dense_rank().over(by)).otherwise(0)
-            rows = p.join(grown.select("term", "field_id", "h", rank.alias("rank")), ["term", "field_id"])
+            # What the terms leave of the postings is less than what they all are.
+            p = p.where(known.some).join(only, "doc_ord", "left_semi")
+        terms = known.terms.where(F.col("h.spec").isin([s.no for s in specs]))
+        n = sum(known.terms_of.get(s.no, 0) for s in specs)
+        if n <= TERM_ROWS:
+            rows = p.join(F.broadcast(terms), ["term", "field_id"])
         else:
-            rows = p.where(some).withColumn("h", F.explode(hits)).withColumn("rank", F.lit(0))
+            k = self.tables.pieces()
+            rows = p.where(known.some).repartition(k, "term").join(terms.repartition(k, "term").hint("shuffle_hash"), ["term", "field_id"])
         if o.get("boost_document") and not ids_only:
             cols = ["doc_ord", "ext_id", *(["stored"] if "stored" in self.tables.docs.columns else [])]
             docs = self.tables.docs.select(*cols)
@@ -166,20 +196,22 @@ class Compiler:
         if not specs:
             return _empty(self.tables)
         op = operator_of(o.get("combine_with") or OR)
-        names = [f for f in dict.fromkeys(o.get("fields") or self.index.fields) if f in self.index.fields]
+        names = self.names(o)
         if not names:
             return _empty(self.tables)
+        known = self.known(specs, o)
         if op == AND_NOT and len(specs) > 1:
-            gone = self.contributions(specs[1:], o, ids_only=True).select("doc_ord").distinct()
-            rows = self.contributions(specs[:1], o, ids_only).join(gone, "doc_ord", "left_anti")
+            gone = self.contributions(specs[1:], known, o, ids_only=True).select("doc_ord").distinct()
+            rows = self.contributions(specs[:1], known, o, ids_only).join(gone, "doc_ord", "left_anti")
             specs = specs[:1]
         elif op == AND and len(specs) > 1:
-            may, only = self.gate(specs, o)
+            may, only = self.gate(specs, known, o)
             if not may:
                 return _empty(self.tables)
-            rows = self.contributions(specs, o, ids_only, only)
+            rows = self.contributions(specs, known, o, ids_only, only)
         else:
-            rows = self.contributions(specs, o, ids_only)
+            rows = self.contributions(specs, known, o, ids_only)
+        rows = spread(rows, sum(known.postings.get(s.no, 0) for s in specs), "doc_ord", each=HIT_ROWS)
         fields = F.array(*[F.lit(f) for f in names])
         mark = _mark(F.col("spec"), F.col("kind"), F.col("rank"), F.when(F.col("kind") == 2, F.lit("")).otherwise(F.col("term")), F.col("field_pos"))
         hit = F.struct(mark.alias("m"), F.col("term").alias("term"), F.col("w").alias("w"))

@@ -66,7 +66,7 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")),
     f"SELECT doc_id, CAST(generate_subscripts(tk, 1) - 1 AS INTEGER) AS pos, unnest(tk) AS token FROM (SELECT doc_id, {Q.tokens('text')} AS tk FROM documents WHERE text IS NOT NULL)",
 )
-add("term_freqs", lambda s, d: documents(s, d).tables.postings.select(F.col("doc_ord").alias("doc_id"), "term", "tf"), f"WITH {TEXT.base()} SELECT id AS doc_id, term, CAST(tf AS INTEGER) AS tf FROM po")
+add("term_freqs", lambda s, d: documents(s, d).tables.bare.select(F.col("doc_ord").alias("doc_id"), "term", "tf"), f"WITH {TEXT.base()} SELECT id AS doc_id, term, CAST(tf AS INTEGER) AS tf FROM po")
 add("field_lengths", lambda s, d: documents(s, d, TWO_FIELDS).tables.lengths.select(F.col("doc_ord").alias("doc_id"), "field_id", "len"), f"WITH {TEXT_SOURCE.base()} SELECT id AS doc_id, f AS field_id, CAST(dl AS INTEGER) AS len FROM fl")
 add("doc_freqs", lambda s, d: documents(s, d, TWO_FIELDS).tables.terms.select("term", "field_id", "df"), f"WITH {TEXT_SOURCE.base()} SELECT term, f AS field_id, CAST(df AS BIGINT) AS df FROM dd")
 add("vocabulary_order", lambda s, d: parts(s, d).dictionary().agg(F.collect_list("term").alias("t")).select(F.posexplode("t").alias("pos", "term")), f"WITH {PART.base()} SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS pos, term FROM (SELECT DISTINCT term FROM po)")

@@ -66,9 +66,9 @@ def release(*tables: DataFrame) -> None:
 def save(index: Any, path: str, compression: str = "auto") -> None:
     """Write the tables; postings and terms lie sorted by term, so that a term's row groups are found by their bounds.
 
-    The texts are taken apart once: frequencies are written first, and everything else is made from them.
+    Postings are sorted in partitions of bounded size; the number of these follows that of the postings.
     """
-    from ..operators.build import with_df
+    from ..operators.build import pieces, with_df
 
     if compression not in CODECS:
         raise ValueError(f"unknown compression: {compression}")
@@ -77,11 +77,14 @@ def save(index: Any, path: str, compression: str = "auto") -> None:
     put = lambda df, name: df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
     put(t.docs, "docs")
     put(t.lengths, "lengths")
-    counted = cut(t.postings.drop("df") if t.counted is None else t.counted)
-    terms = cut(counted.groupBy("term", "field_id").agg(F.count("*").alias("df")))
-    put(with_df(counted, terms).repartitionByRange("term", "field_id", "doc_ord").sortWithinPartitions("term", "field_id", "doc_ord"), "postings")
-    put(terms.repartitionByRange("term").sortWithinPartitions("term", "field_id"), "terms")
-    release(counted, terms)
+    n = t.pieces()
+    terms = cut(t.terms)
+    # Of an index that was read, postings have their df already.
+    postings = t.postings if t.counted is None else with_df(t.counted, terms.repartition(n, "term"), n)
+    by = ["term", "field_id", "doc_ord"]
+    put(postings.repartitionByRange(pieces(t.size), *by).sortWithinPartitions(*by), "postings")
+    put(terms.repartitionByRange(n, "term").sortWithinPartitions("term", "field_id"), "terms")
+    release(terms)
     meta = json.dumps({"fields": list(o.fields), "id_field": o.id_field, "store_fields": list(o.store_fields), "averages": list(t.averages), "count": t.count, "version": 1})
     spark = t.docs.sparkSession
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

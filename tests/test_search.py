@@ -348,3 +348,44 @@ def test_a_snapshot_in_parts(spark, index, tmp_path):
         text = "".join(p.read_text() for p in files)
         assert json.loads(text) == json.loads(ix.to_json())
         assert hits(SearchIndex.from_json(spark, text, ix.options).search("zen the", prefix=True)) == hits(ix.search("zen the", prefix=True))
+
+
+def test_terms_are_counted_within_their_documents(spark):
+    """No task gathers the postings of many documents to count them."""
+    rows = [(1, "b a b", None), (2, "", "x"), (3, None, "A a"), (4, " , ", "b " * 70_000)]
+    ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, t string, u string"), IndexOptions(fields=("t", "u")))
+    plan = plan_of(ix.tables.bare)
+    assert not any(x in plan for x in ("Aggregate", "Exchange", "Sort"))
+    assert {(r["doc_ord"], r["field_id"], r["term"], r["tf"], r["len"]) for r in ix.tables.bare.collect()} == {(1, 0, "a", 1, 2), (1, 0, "b", 2, 2), (2, 1, "x", 1, 1), (3, 1, "a", 2, 2), (4, 1, "b", 65535, 2)}
+    assert ix.tables.size == 5 and {(r["doc_ord"], r["field_id"], r["len"]) for r in ix.tables.lengths.collect()} == {(1, 0, 2), (1, 1, None), (2, 0, 1), (2, 1, 1), (3, 0, None), (3, 1, 2), (4, 0, 1), (4, 1, 2)}
+
+
+def test_work_is_dealt_by_size(spark, monkeypatch, tmp_path):
+    """Partitions follow the number of postings, whatever the session's number of partitions is."""
+    from sparquill.operators import build, search
+
+    monkeypatch.setattr(build, "ROWS", 50)
+    monkeypatch.setattr(search, "HIT_ROWS", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i, " ".join(f"w{i + j}" for j in range(5)) + " all") for i in range(100)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        ix = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, text string"), IndexOptions(fields=("text",)))
+        assert ix.tables.size == 600 and ix.tables.terms.rdd.getNumPartitions() == 12
+        ix.save(str(tmp_path / "ix"))
+        assert len(list((tmp_path / "ix" / "postings").glob("part-*"))) > 6
+        back = SearchIndex.load(spark, str(tmp_path / "ix"))
+        for i in (ix, back):
+            assert "REPARTITION_BY_NUM" in plan_of(i.search("all w1", prefix=True))
+            assert len(hits(i.search("all w1", prefix=True))) == 100 and i.faults().count() == 0
+        # Terms too many to be broadcast go by a shuffle.
+        expected = hits(ix.search("all w1", prefix=True, fuzzy=0.3))
+        monkeypatch.setattr(search, "TERM_ROWS", 3)
+        assert hits(ix.search("all w1", prefix=True, fuzzy=0.3)) == expected == hits(back.search("all w1", prefix=True, fuzzy=0.3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_edit_distances_meet_postings_by_broadcast(index):
+    plan = plan_of(index.search("zenn", fuzzy=1))
+    assert "BroadcastHashJoin" in plan and "levenshtein" not in plan
