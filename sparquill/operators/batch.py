@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..plans.query import AND, AND_NOT, OR, operator_of
-from .build import IndexOptions, Tables
+from ..sources.store import cut
+from .build import IndexOptions, Tables, pieces
 
 
 def query_specs(queries: DataFrame, options: IndexOptions, o: dict[str, Any]) -> DataFrame:
-    """(query_id, spec, q, n, fresh) of each query's terms; tokenized by the index's own Column functions. ``fresh``: 1 for a term's first place."""
+    """(query_id, spec, q, n) of each query's terms; tokenized by the index's own Column functions."""
     if any(callable(o.get(k)) for k in ("prefix", "fuzzy", "boost_term", "tokenize", "process_term", "boost_document")):
         raise TypeError("a batch of queries takes no functions as options")
     tokens = options.tokenize(F.coalesce(F.col("query"), F.lit("")), "")
     terms = F.filter(T.processed_terms(tokens, options.process_term, options.term_arrays), lambda t: t != "")
     rows = queries.select("query_id", terms.alias("ts"))
-    each = rows.select("query_id", F.size("ts").alias("n"), "ts", F.posexplode("ts").alias("spec", "q"))
-    return each.select("query_id", "n", "spec", "q", (F.array_position("ts", F.col("q")) == F.col("spec") + 1).cast("int").alias("fresh"))
+    return rows.select("query_id", F.size("ts").alias("n"), F.posexplode("ts").alias("spec", "q"))
 
 
 def matched_terms(specs: DataFrame, terms: DataFrame, o: dict[str, Any]) -> DataFrame:
@@ -89,33 +89,66 @@ def scale_of(boosts: list[tuple[int, float]], o: dict[str, Any]) -> float:
     return 2.0 ** math.ceil(math.log2(max([1.0, abs(p.k) + abs(p.d), *(abs(b) for _, b in boosts)]) * max([1.0, *map(abs, weights)])))
 
 
+#: Rows that are broadcast at most, and pairs of a query and a document that a task sums up.
+FEW, PAIRS = 200_000, 500_000
+
+
 def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: dict[str, Any], limit: int | None) -> DataFrame:
-    """(query_id, id, score, rank). Every query is answered; ``limit`` keeps the best of each."""
+    """(query_id, id, score, rank). Every query is answered; ``limit`` keeps the best of each.
+
+    Postings that queries ask for move once, to their documents; there they meet the queries, are summed up and get their
+    ids. So pairs of queries and documents don't move, but for those that a ``limit`` leaves.
+    """
     op = operator_of(o.get("combine_with") or OR)
-    specs = query_specs(queries, options, o)
-    matched = matched_terms(specs, tables.terms, o)
+    specs = cut(query_specs(queries, options, o))
     names = [f for f in dict.fromkeys(o.get("fields") or options.fields) if f in options.fields]
     pairs = [(options.fields.index(f), float((o.get("boost") or {}).get(f) or 1.0)) for f in names]
     if not pairs:
         pairs = [(-1, 1.0)]
+    within = F.col("field_id").isin([i for i, _ in pairs])
+    if o["prefix"] is True or o["fuzzy"]:
+        matched = matched_terms(specs, tables.terms if tables.counted is None else cut(tables.terms), o)
+    else:
+        matched = specs.select("q").distinct().withColumn("term", F.col("q")).withColumn("w", F.lit(1.0))
+    matched = cut(matched)
+    small = lambda df, n: F.broadcast(df) if n <= FEW else df
+    n = matched.count()
+    asked = matched.select("term").distinct()
+    if tables.counted is None:
+        found = tables.terms.where(within).join(small(asked, n), "term", "left_semi")
+    else:
+        found = tables.counted.where(within).join(small(asked, n), "term", "left_semi").groupBy("term", "field_id").agg(F.count("*").alias("df"))
+    # The query terms get numbers, which postings take along.
+    numbered = cut(specs.select("q").distinct().withColumn("no", F.monotonically_increasing_id()))
+    known = cut(found.join(matched, "term").join(numbered, "q").select("term", "field_id", "df", "no", "w"))
+    # Of a query's equal terms one row tells how often they stand there.
+    asks = cut(specs.groupBy("query_id", "q").agg(F.count("*").alias("times"), F.max(F.when(F.col("spec") == 0, 1)).alias("first"), F.first("n").alias("n")).join(numbered, "q").drop("q"))
+    facts = asks.agg(F.count("*").alias("rows"), F.count_distinct("query_id").alias("queries"), F.max(F.col("query_id").isNull().cast("int")).alias("null")).first()
+    met = known.groupBy("no").agg(F.count("*").alias("n"), F.sum("df").alias("df"))
+    rows = asks.join(met, "no").agg(F.sum("df").alias("rows")).first()["rows"] or 0
+    n = known.count()
+    tasks = pieces(min(rows, tables.count * (facts["queries"] + (facts["null"] or 0))), PAIRS)
     choose = lambda values: F.element_at(F.create_map(*[x for k, v in values for x in (F.lit(k), F.lit(v))]), F.col("field_id"))
     average = choose([(i, tables.averages[i] if i >= 0 else 1.0) for i, _ in pairs])
-    p = tables.postings.where(F.col("field_id").isin([i for i, _ in pairs]))
+    p = tables.bare.where(within).select("term", "field_id", "doc_ord", "tf", "len").join(small(known, n), ["term", "field_id"])
     score = S.bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(tables.count)), F.col("len").cast("double"), average, o.get("bm25") or S.BM25())
     w = F.col("w") * choose(pairs) * score / F.lit(scale_of(pairs, o))
     # Each posting is scored once for a query term, however many queries have it.
-    per_term = p.join(matched, "term").withColumn("hi", F.floor(w * HIGH)).withColumn("lo", F.floor((w * HIGH - F.col("hi")) * LOW)).groupBy("q", "doc_ord").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
-    rows = specs.join(per_term, "q")
-    first = lambda c: F.sum(F.when(F.col("spec") == 0, F.col(c)))
-    by = rows.groupBy("query_id", "doc_ord").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), first("hi").alias("hi0"), first("lo").alias("lo0"), F.sum("fresh").alias("words"), F.count("*").alias("met"), F.first("n").alias("n"))
+    each = p.withColumn("hi", F.floor(w * HIGH)).withColumn("lo", F.floor((w * HIGH - F.col("hi")) * LOW)).select("no", "doc_ord", "hi", "lo").repartition(tasks, "doc_ord")
+    per_term = each.groupBy("no", "doc_ord").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+    both = per_term.join(small(asks, facts["rows"]), "no")
+    times = lambda c: F.sum(F.col(c) * F.col("times"))
+    first = lambda c: F.sum(F.when(F.col("first") == 1, F.col(c)))
+    by = both.groupBy("query_id", "doc_ord").agg(times("hi").alias("hi"), times("lo").alias("lo"), first("hi").alias("hi0"), first("lo").alias("lo0"), F.count("*").alias("words"), F.sum("times").alias("met"), F.first("n").alias("n"))
     number = lambda hi, lo: (F.col(hi).cast("double") + F.col(lo).cast("double") / LOW) / HIGH * F.lit(scale_of(pairs, o))
     by = by.withColumn("score", number("hi", "lo")).withColumn("first", number("hi0", "lo0"))
     if op == AND:
         by = by.where("met = n")
     elif op == AND_NOT:
         by = by.where("first is not null and met = 1").withColumn("score", F.col("first"))
-    scored = by.select("query_id", "doc_ord", (F.col("score") * F.col("words")).alias("score"))
+    docs = tables.docs.select("doc_ord", "ext_id").repartition(tasks, "doc_ord").hint("shuffle_hash")
+    scored = by.select("query_id", "doc_ord", (F.col("score") * F.col("words")).alias("score")).join(docs, "doc_ord")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_ord")))
     if limit is not None:
         ranked = ranked.where(F.col("rank") <= limit)
-    return ranked.join(tables.docs.select("doc_ord", "ext_id"), "doc_ord").select("query_id", F.col("ext_id").alias("id"), "score", "rank")
+    return ranked.select("query_id", F.col("ext_id").alias("id"), "score", "rank")
