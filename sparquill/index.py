@@ -123,18 +123,17 @@ class SearchIndex:
     def faults(self) -> DataFrame:
         """(fault, n): what an index can't have, such as postings of no document. Empty if all is well."""
         t = self.tables
-        checks = [
-            ("posting of no document", t.postings.join(t.docs, "doc_ord", "left_anti")),
-            ("frequency below 1", t.postings.where("tf < 1")),
-            ("field out of range", t.postings.where((F.col("field_id") < 0) | (F.col("field_id") >= len(self.options.fields)))),
-            ("duplicate term", t.terms.groupBy("term", "field_id").count().where("count > 1")),
-            ("document frequency", t.postings.groupBy("term", "field_id").agg(F.count("*").alias("n"), F.max("df").alias("df")).where("n <> df")),
-        ]
-        out = None
-        for name, df in checks:
-            one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
-            out = one if out is None else out.unionByName(one)
-        return out.where("n > 0")
+        name = lambda df, fault: df.select(F.lit(fault).alias("fault"), "n")
+        wrong = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
+        # What a row shows by itself is counted in one pass, and postings are counted by document before they meet the documents.
+        alone = t.bare.agg(wrong(F.col("tf") < 1).alias("tf"), wrong((F.col("field_id") < 0) | (F.col("field_id") >= len(self.options.fields))).alias("field"))
+        each = alone.select(F.explode(F.array(F.struct(F.lit("frequency below 1").alias("fault"), F.col("tf").alias("n")), F.struct(F.lit("field out of range").alias("fault"), F.col("field").alias("n")))).alias("x")).select("x.*")
+        lost = t.bare.groupBy("doc_ord").agg(F.count("*").alias("n")).join(t.docs, "doc_ord", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        twice = t.terms.groupBy("term", "field_id").count().where("count > 1").agg(F.count("*").alias("n"))
+        n = t.pieces()
+        postings = t.postings.repartition(n, "term") if t.counted is None else t.postings
+        unequal = postings.groupBy("term", "field_id").agg(F.count("*").alias("n"), F.max("df").alias("df")).where("n <> df").agg(F.count("*").alias("n"))
+        return name(lost, "posting of no document").unionByName(each).unionByName(name(twice, "duplicate term")).unionByName(name(unequal, "document frequency")).where("n > 0")
 
     def save(self, path: str, compression: str = "auto") -> None:
         from .sources.store import save

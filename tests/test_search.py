@@ -389,3 +389,15 @@ def test_work_is_dealt_by_size(spark, monkeypatch, tmp_path):
 def test_edit_distances_meet_postings_by_broadcast(index):
     plan = plan_of(index.search("zenn", fuzzy=1))
     assert "BroadcastHashJoin" in plan and "levenshtein" not in plan
+
+
+def test_faults_are_found(spark):
+    from dataclasses import replace
+
+    ix = SearchIndex.from_dataframe(spark.createDataFrame([(1, "a b"), (2, "b")], "id long, text string"), IndexOptions(fields=("text",)))
+    t = ix.tables
+    bad = t.postings.select("term", "field_id", "doc_ord", "tf", "len", "df").unionByName(spark.createDataFrame([("z", 0, 9, 0, 1, 5), ("b", 3, 9, 1, 1, 1), ("b", 0, 8, 1, 1, 2)], "term string, field_id int, doc_ord long, tf int, len int, df long"))
+    broken = SearchIndex(replace(t, postings=bad, counted=None, size=None, terms=t.terms.unionByName(t.terms.where("term = 'a'"))), ix.options)
+    assert {r["fault"]: r["n"] for r in broken.faults().collect()} == {"posting of no document": 3, "frequency below 1": 1, "field out of range": 1, "duplicate term": 1, "document frequency": 2}
+    # Postings are read once for what each row shows.
+    assert plan_of(ix.faults()).count("Join") <= 2
