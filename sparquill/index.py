@@ -157,6 +157,13 @@ class SearchIndex:
 
         save_json(self, path, compression)
 
+    @classmethod
+    def load_json(cls, spark: SparkSession, path: str, options: IndexOptions | None = None) -> SearchIndex:
+        """Read the folder that ``save_json`` wrote, without its text going through the driver."""
+        from .sources.snapshot import load_json
+
+        return load_json(spark, path, options)
+
     @classmethod
     def from_json(cls, spark: SparkSession, text: str, options: IndexOptions | None = None) -> SearchIndex:
         from .sources.snapshot import from_json

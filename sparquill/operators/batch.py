@@ -107,14 +107,14 @@ def search_many(tables: Tables, options: IndexOptions, queries: DataFrame, o: di
         pairs = [(-1, 1.0)]
     within = F.col("field_id").isin([i for i, _ in pairs])
     if o["prefix"] is True or o["fuzzy"]:
-        matched = matched_terms(specs, tables.terms if tables.counted is None else cut(tables.terms), o)
+        matched = matched_terms(specs, tables.terms if tables.counted is None or tables.listed else cut(tables.terms), o)
     else:
         matched = specs.select("q").distinct().withColumn("term", F.col("q")).withColumn("w", F.lit(1.0))
     matched = cut(matched)
     small = lambda df, n: F.broadcast(df) if n <= FEW else df
     n = matched.count()
     asked = matched.select("term").distinct()
-    if tables.counted is None:
+    if tables.counted is None or tables.listed:
         found = tables.terms.where(within).join(small(asked, n), "term", "left_semi")
     else:
         found = tables.counted.where(within).join(small(asked, n), "term", "left_semi").groupBy("term", "field_id").agg(F.count("*").alias("df"))

@@ -80,6 +80,8 @@ class Tables:
     counted: DataFrame | None = None
     #: Number of postings, if it is known.
     size: int | None = None
+    #: Whether the dictionary is a table that was written, so that looking into it is cheaper than counting postings.
+    listed: bool = False
 
     @property
     def bare(self) -> DataFrame:
@@ -88,7 +90,7 @@ class Tables:
 
     def frequencies(self, cond: Column) -> DataFrame:
         """(term, field_id, df) of the terms that meet a condition on term and field_id."""
-        if self.counted is None:
+        if self.counted is None or self.listed:
             return self.terms.where(cond)
         return self.counted.where(cond).groupBy("term", "field_id").agg(F.count("*").alias("df"))
 

@@ -401,3 +401,41 @@ def test_faults_are_found(spark):
     assert {r["fault"]: r["n"] for r in broken.faults().collect()} == {"posting of no document": 3, "frequency below 1": 1, "field out of range": 1, "duplicate term": 1, "document frequency": 2}
     # Postings are read once for what each row shows.
     assert plan_of(ix.faults()).count("Join") <= 2
+
+
+def test_a_snapshot_in_parts_is_read_where_it_lies(spark, index, tmp_path, monkeypatch):
+    """Blocks of files start amid terms; nothing but what the index has once goes through the driver."""
+    rows = [(i, "the end" if i % 3 else None, f"the \"quoted\" té\\ {i} the [x], {{y", i / 2 if i % 4 else None, i % 2 == 0, [f"a{i}"]) for i in range(60)]
+    gaps = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, title string, text string, half double, even boolean, tags array<string>"), IndexOptions(fields=("title", "text"), store_fields=("title", "half", "even", "tags")))
+    named = SearchIndex.from_dataframe(spark.createDataFrame([("a\"b", "x"), ("ü", "x y")], "id string, t string"), IndexOptions(fields=("t",)))
+    monkeypatch.setattr(SearchIndex, "from_json", lambda *a: pytest.fail("read on the driver"))
+    settings = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "20"}
+    for n, (ix, q) in enumerate(((index, "zen the"), (gaps, "the 7"), (named, "x"))):
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            ix.save_json(str(tmp_path / f"s{n}"))
+            back = SearchIndex.load_json(spark, str(tmp_path / f"s{n}"), ix.options if n == 0 else None)
+            table = lambda df: sorted(map(tuple, df.collect()), key=repr)
+            order = {r["doc_ord"]: i for i, r in enumerate(ix.tables.docs.orderBy("doc_ord").collect())}
+            cols = ["doc_ord", "term", "field_id", "tf", "len", "df"]
+            assert table(back.tables.postings.select(cols)) == sorted(((order[x[0]], *x[1:]) for x in ix.tables.postings.select(cols).collect()), key=repr)
+        finally:
+            for k in settings:
+                spark.conf.unset(k)
+        assert hits(back.search(q, prefix=True, fuzzy=0.2)) == hits(ix.search(q, prefix=True, fuzzy=0.2)) and back.tables.averages == ix.tables.averages
+        first = ix.tables.docs.orderBy("doc_ord").first()["ext_id"]
+        assert back.get_stored_fields(first) == ix.get_stored_fields(first) or n == 2
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"s{n}").glob("part-*")))
+        assert json.loads(text) == json.loads(ix.to_json())
+
+
+def test_faults_of_a_snapshot_in_parts(spark, index, tmp_path):
+    index.save_json(str(tmp_path / "s"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*")))
+    for n, (old, new) in enumerate((('"1":2', '"0":2'), ('"zen"', '"art"'), ('"0": 1', '"9": 1'), (': 1', ': 0'), ('"nextId": 4', '"nextId": 5'), ('[2,4]', '[2,-4]'), ('}, "index": [', "nothing"))):
+        (tmp_path / f"bad{n}").mkdir()
+        assert old in text
+        (tmp_path / f"bad{n}" / "part-0.txt").write_text(new.join(text.rsplit(old, 1)))
+        with pytest.raises(Exception, match="SnapshotError|shortId|duplicated|posting|cover|fieldLength"):
+            SearchIndex.load_json(spark, str(tmp_path / f"bad{n}"))
