@@ -100,7 +100,11 @@ def save_json(index: Any, path: str, compression: str = "none") -> None:
     t, o = index.tables, index.options
     stored = "stored" in t.docs.columns
     n = t.pieces()
-    docs = cut(with_ordinal(t.docs, F.col("doc_ord"), F.col("doc_ord"), "short"))
+    ends = t.docs.agg(F.min("doc_ord").alias("low"), F.max("doc_ord").alias("high"), F.count("*").alias("n")).first()
+    # Consecutive numbers need only be shifted; others are looked up.
+    shift = t.count and ends["n"] == t.count and ends["high"] - ends["low"] + 1 == t.count
+    near = lambda df: df.withColumn("short", F.col("doc_ord") - F.lit(ends["low"]))
+    docs = cut(near(t.docs) if shift else with_ordinal(t.docs, F.col("doc_ord"), F.col("doc_ord"), "short"))
     short = docs.select("doc_ord", "short")
     # At least two, as Spark merges the members of a union that have one partition each.
     least_parts = max(2, t.docs.sparkSession.sparkContext.defaultParallelism)
@@ -120,10 +124,12 @@ def save_json(index: Any, path: str, compression: str = "none") -> None:
         return t.docs.sparkSession.range(1, numPartitions=1).select(F.lit(text).alias("line"))
 
     head = json.dumps({"documentCount": t.count, "nextId": t.count, "fieldIds": {f: i for i, f in enumerate(o.fields)}, "averageFieldLength": list(t.averages), "dirtCount": 0, "serializationVersion": 2})
-    lengths = t.lengths.groupBy("doc_ord").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("field_id", F.coalesce("len", F.lit(0)).alias("len")))), lambda x: x["len"])).alias("l")).join(short, "doc_ord")
+    lengths = t.lengths.groupBy("doc_ord").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("field_id", F.coalesce("len", F.lit(0)).alias("len")))), lambda x: x["len"])).alias("l"))
+    lengths = near(lengths) if shift else lengths.join(short, "doc_ord")
     key = F.encode("term", "UTF-16BE")
     least = t.bare.agg(F.min(key).alias("k")).select(F.decode("k", "UTF-16BE").alias("k")).first()["k"]
-    posted = _by_document(t.bare.select("term", "field_id", "doc_ord", "tf"), short, t.count, n, ["doc_ord"])
+    posted = t.bare.select("term", "field_id", "doc_ord", "tf")
+    posted = near(posted) if shift else _by_document(posted, short, t.count, n, ["doc_ord"])
     # By the term alone, so that a term's lines follow each other in one partition.
     posted = posted.withColumn("key", key).repartitionByRange(max(least_parts, pieces(t.size)), "key").sortWithinPartitions("key", "field_id", "short")
     # The parts of a union are written in its order.
@@ -277,6 +283,8 @@ def _type_of(values: list[Any]) -> str:
     return "string"
 
 
+#: Characters of postings that are taken apart at a time.
+TEXT = 1_000_000
 #: Kinds of rows that lines give.
 HEAD, ID, LENGTH, STORED, POSTING, TERM, LAST, TYPES = range(8)
 _ROWS = "kind int, file string, start long, short long, field int, term string, tf long, value string"
@@ -302,9 +310,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
+    def postings(held: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([x[4].count('": ') for x in held])
+        text = ",".join(x[4] for x in held).replace('": ', ",").replace('"', "")
+        if not re.fullmatch(r"[0-9]{1,18}(?:,[0-9]{1,18})*", text):
+            raise SnapshotError("a short id or frequency isn't a whole number")
+        numbers = np.fromstring(text, dtype=np.int64, sep=",")
+        if len(numbers) != 2 * sizes.sum():
+            raise SnapshotError("postings aren't pairs of numbers")
+        which = pa.array(np.repeat(np.arange(len(held)), sizes))
+        own = [pa.array(c, f).take(which) for c, f in zip(zip(*(x[:4] for x in held), strict=True), (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+        n = len(which)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, POSTING, np.int32)), own[0], own[1], pa.array(numbers[::2]), own[2], own[3], pa.array(numbers[1::2]), pa.nulls(n, pa.string())], schema=_SCHEMA)
+
     for b in batches:
         out: list[tuple] = []
         held: list[tuple] = []
+        size = 0
         for line, *at in zip(*(b.column(c).to_pylist() for c in ("value", "file", "start")), strict=True):
             if at != block:
                 if block is not None:
@@ -342,20 +364,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise SnapshotError("a line that isn't of a snapshot in parts")
             if body is not None:
                 held.append((*at, field, term, body))
+                size += len(body)
+                if size > TEXT:
+                    yield postings(held)
+                    held, size = [], 0
         if out:
             yield rows(out)
         if held:
-            sizes = np.array([x[4].count('": ') for x in held])
-            text = ",".join(x[4] for x in held).replace('": ', ",").replace('"', "")
-            if not re.fullmatch(r"[0-9,]+", text):
-                raise SnapshotError("a short id or frequency isn't a whole number")
-            numbers = np.array(text.split(","), dtype=np.int64)
-            if len(numbers) != 2 * sizes.sum():
-                raise SnapshotError("postings aren't pairs of numbers")
-            which = pa.array(np.repeat(np.arange(len(held)), sizes))
-            own = [pa.array(c, f).take(which) for c, f in zip(zip(*(x[:4] for x in held), strict=True), (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)]
-            n = len(which)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, POSTING, np.int32)), own[0], own[1], pa.array(numbers[::2]), own[2], own[3], pa.array(numbers[1::2]), pa.nulls(n, pa.string())], schema=_SCHEMA)
+            yield postings(held)
     if block is not None:
         yield rows([(LAST, *block, None, field, term, None, None), (TYPES, *block, None, None, None, None, json.dumps({k: sorted(v) for k, v in types.items()}))])
 

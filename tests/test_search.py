@@ -405,10 +405,13 @@ def test_faults_are_found(spark):
 
 def test_a_snapshot_in_parts_is_read_where_it_lies(spark, index, tmp_path, monkeypatch):
     """Blocks of files start amid terms; nothing but what the index has once goes through the driver."""
-    rows = [(i, "the end" if i % 3 else None, f"the \"quoted\" té\\ {i} the [x], {{y", i / 2 if i % 4 else None, i % 2 == 0, [f"a{i}"]) for i in range(60)]
+    rows = [(3 * i, "the end" if i % 3 else None, f"the \"quoted\" té\\ {i} the [x], {{y", i / 2 if i % 4 else None, i % 2 == 0, [f"a{i}"]) for i in range(60)]
     gaps = SearchIndex.from_dataframe(spark.createDataFrame(rows, "id long, title string, text string, half double, even boolean, tags array<string>"), IndexOptions(fields=("title", "text"), store_fields=("title", "half", "even", "tags")))
     named = SearchIndex.from_dataframe(spark.createDataFrame([("a\"b", "x"), ("ü", "x y")], "id string, t string"), IndexOptions(fields=("t",)))
     monkeypatch.setattr(SearchIndex, "from_json", lambda *a: pytest.fail("read on the driver"))
+    # Numbers with gaps are looked up, in a table too large to be broadcast; postings are taken apart a few lines at a time.
+    monkeypatch.setattr("sparquill.sources.snapshot.FEW", 5)
+    monkeypatch.setattr("sparquill.sources.snapshot.TEXT", 100)
     settings = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "20"}
     for n, (ix, q) in enumerate(((index, "zen the"), (gaps, "the 7"), (named, "x"))):
         try:
